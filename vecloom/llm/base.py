@@ -64,7 +64,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: i
             yield part, part.column(column).to_pylist()
 
 
-def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], keep: str, out: str) -> DataFrame:
+def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], keep: str, out: str, column: str = "text") -> DataFrame:
     """Run make()(texts) -> columns over chunks of df; df's columns in `keep` (DDL) pass through, `out` (DDL) are new."""
     names = [x.strip().split(" ")[0] for x in keep.split(",")]
     ddl = f"{keep}, {out}"
@@ -72,7 +72,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], keep: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, column):
             made = step(texts)
             columns = [part.column(f.name).cast(f.type) if f.name in names else pa.array(made[f.name], type=f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import langid, lengths, mixing, pieces, quality, simhash, toxicity
+from vecloom.llm import bitslice, html, langid, lengths, mixing, pieces, quality, simhash, toxicity
 from vecloom.llm.base import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.search(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -44,6 +49,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_curve(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.measure(read(spark, sf_dir, "documents"))
@@ -56,3 +66,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_mixing"] = mixing.ORACLE
+ORACLES["op3_topk_search"] = bitslice.ORACLE
