@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import bitslice, html, langid, lengths, mixing, pieces, quality, simhash, toxicity
+from vecloom.llm import bitslice, html, langid, lengths, licenses, mixing, pieces, quality, simhash, toxicity
 from vecloom.llm.base import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_curve(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
 @query
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages"))
@@ -67,3 +72,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_mixing"] = mixing.ORACLE
 ORACLES["op3_topk_search"] = bitslice.ORACLE
+ORACLES["op7_license_scan"] = licenses.oracle()
