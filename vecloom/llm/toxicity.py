@@ -207,3 +207,16 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLAS
     """doc_id, held_out, score, predicted and evidence; learns from labels outside fold 0."""
     index = train(docs, labels.filter(fold(F.col("doc_id")) != 0), per_class)
     return score(docs, index).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "n_neighbours", "nearest_cosine")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
+    """The rows of docs that score under 0.5, with all their columns; learns from labels of docs outside fold 0."""
+    index = train(docs, labels.filter(fold(F.col("doc_id")) != 0), per_class)
+    model = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = model.value
+        for part, texts in text_chunks(batches):
+            yield part.filter(pa.array([index.score(WORD.findall((t or "").lower()))[0] < 0.5 for t in texts]))
+
+    return docs.mapInArrow(run, docs.schema)
