@@ -2,13 +2,439 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vecloom.functions import chunkers
+from vecloom.functions.identity import canonical_text, content_hash, dedup_key, hash_prefix, row_id, store_key, tree_digest, vector_id
+from vecloom.functions.vectors import cosine_to, nearest_centroid, norm
+from vecloom.operators import content_map as cm
+from vecloom.operators.projection import shape
+from vecloom.operators.search import probe, recall, top_k
+from vecloom.plans.spec import Spec
+from vecloom.sources.embedders import StoredVectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SPEC = Spec("documents", ("doc_id",), ("text",), "stored-vectors")
+CHUNKED = Spec("documents", ("doc_id",), ("text",), "stored-vectors", chunker="fixed", chunk_size=200, chunk_overlap=50)
+#: Centroids of the index queries: every n/CLUSTERS-th vector.
+CLUSTERS, PROBES, K = 10, 3, 10
+
+
+def query(sql: str | None = None):
+    """Register a query, and the SQL that it must agree with."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# -- identity and derivation
+
+@query("select doc_id, sha256(coalesce(text, '')) as content_hash, substr(sha256(coalesce(text, '')), 1, 2) as hash_prefix from documents")
+def content_hash_documents(spark, sf_dir):
+    h = content_hash(canonical_text(["text"]))
+    return read(spark, sf_dir, "documents").select("doc_id", h.alias("content_hash"), hash_prefix(h).alias("hash_prefix"))
+
+
+@query("select p_partkey, coalesce(p_name, '') || ' ' || coalesce(p_type, '') as canonical, sha256(coalesce(p_name, '') || ' ' || coalesce(p_type, '')) as content_hash from part")
+def canonical_text_multi(spark, sf_dir):
+    t = canonical_text(["p_name", "p_type"])
+    return read(spark, sf_dir, "part").select("p_partkey", t.alias("canonical"), content_hash(t).alias("content_hash"))
+
+
+@query("select l_orderkey, l_linenumber, l_orderkey::varchar || chr(31) || l_linenumber::varchar as row_id from lineitem")
+def row_id_composite(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", row_id(["l_orderkey", "l_linenumber"]).alias("row_id"))
+
+
+@query("select doc_id, 0 as chunk_ordinal, text, sha256(text) as content_hash from documents where text is not null and not regexp_full_match(text, '\\s*')")
+def chunk_whole(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(chunkers.whole(F.col("text"))).alias("c"))
+    return rows.select("doc_id", F.col("c.ordinal").alias("chunk_ordinal"), "c.text", content_hash(F.col("c.text")).alias("content_hash"))
+
+
+_CHUNKS = """select doc_id, i::int as chunk_ordinal, substr(text, (i * 150 + 1)::bigint, 200) as text
+  from (select doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 50) / 150.0))::bigint)) as i from documents where text is not null and not regexp_full_match(text, '\\s*'))"""
+
+
+@query(f"select doc_id, chunk_ordinal, sha256(text) as content_hash, length(text)::int as n_chars from ({_CHUNKS})")
+def chunk_fixed(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(chunkers.of_spec(CHUNKED)(F.col("text"))).alias("c"))
+    return rows.select("doc_id", F.col("c.ordinal").alias("chunk_ordinal"), content_hash(F.col("c.text")).alias("content_hash"), F.length("c.text").alias("n_chars"))
+
+
+@query("select sha256(text) as content_hash, count(*) as n_rows, min(doc_id) as first_doc from documents where text is not null group by 1")
+def distinct_content(spark, sf_dir):
+    return read(spark, sf_dir, "documents").filter("text is not null").groupBy(content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"""select (select count(*) from documents) as n_rows, count(*) as chunks, count(distinct sha256(text)) as inference_calls, (count(*) - count(distinct sha256(text))) as cache_hits,
+  round(1 - count(distinct sha256(text)) / count(*), 6) as inference_avoided from ({_CHUNKS})""")
+def dedup_savings(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    chunks = docs.select(F.explode(chunkers.of_spec(CHUNKED)(F.col("text"))).alias("c")).select(content_hash(F.col("c.text")).alias("h"))
+    # sums by content first: no task sees all chunks
+    sums = chunks.groupBy("h").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count("*").alias("inference_calls"))
+    rows = docs.agg(F.count("*").alias("n_rows"))
+    return rows.crossJoin(sums).select("n_rows", "chunks", "inference_calls", (F.col("chunks") - F.col("inference_calls")).alias("cache_hits"), F.round(1 - F.try_divide("inference_calls", "chunks"), 6).alias("inference_avoided"))  # one row each
+
+
+_EARLY = "doc_id % 3 = 0"
+
+
+@query(f"select distinct sha256(text) as content_hash from documents n where not ({_EARLY}) and text is not null and not exists (select 1 from documents o where o.{_EARLY} and o.text = n.text)")
+def novel_content(spark, sf_dir):
+    """Contents of later rows that earlier rows did not have."""
+    docs = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    known = docs.filter(_EARLY).select("content_hash").distinct()
+    return docs.filter(f"not ({_EARLY})").select("content_hash").distinct().join(known, "content_hash", "left_anti")
+
+
+@query("select item_id, count(doc_id) as n_docs from benchmark b left join documents d on sha256(d.text) = sha256(b.text) group by item_id")
+def cross_table_reuse(spark, sf_dir):
+    """Content identity leaves out the table: what one has embedded, the other reuses."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", content_hash(F.col("text")).alias("h"))
+    docs = read(spark, sf_dir, "documents").filter("text is not null").groupBy(content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("n"))
+    return items.join(docs, "h", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
+
+
+_VECTOR_ID = "sha256(concat_ws(chr(31), 'documents', doc_id::varchar, '7', '0', 'stored-vectors', 'v1', '{config}'))"
+
+
+@query(f"select doc_id, {_VECTOR_ID.format(config=SPEC.config_id)} as vector_id, concat_ws(chr(31), sha256(text), 'stored-vectors:v1', '{SPEC.config_id}') as store_key from documents")
+def vector_ids(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    key = vector_id(F.lit("documents"), F.col("doc_id").cast("string"), F.lit(7), F.lit(0), F.lit(SPEC.model_name), F.lit(SPEC.embedding_version), F.lit(SPEC.config_id))
+    return docs.select("doc_id", key.alias("vector_id"), store_key(content_hash(F.col("text")), F.lit(SPEC.model_version), F.lit(SPEC.config_id)).alias("store_key"))
+
+
+@query("""with l0 as (select distinct sha256(text) as h from documents where text is not null),
+l4 as (select substr(h, 1, 4) as k, sha256(string_agg(h, chr(31) order by h)) as h, count(*) as n from l0 group by 1),
+l2 as (select substr(k, 1, 2) as k, sha256(string_agg(h, chr(31) order by k)) as h, sum(n) as n from l4 group by 1)
+select sum(n)::bigint as n_contents, sha256(string_agg(h, chr(31) order by k)) as digest from l2""")
+def coverage_digest(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("text is not null")
+    return tree_digest(docs.select(content_hash(F.col("text")).alias("content_hash")))
+
+
+# -- content map: events as a history
+
+_HISTORY = "select user_id, event_id as seq, case when event_type = 'error' then null else sha256(props) end as content_hash, event_type = 'error' as deleted from events"
+_COLLAPSE = "select user_id, seq, content_hash from (select *, row_number() over (partition by user_id order by seq desc, deleted, content_hash desc nulls last) as r from ({h}) where seq <= {n}) where r = 1 and not deleted and content_hash is not null"
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as assertions about users: an error is a tombstone."""
+    gone = F.col("event_type") == "error"
+    return read(spark, sf_dir, "events").select(
+        F.lit("users").alias("source_table"), F.col("user_id").cast("string").alias("source_row_id"), F.lit(0).alias("chunk_ordinal"), F.when(~gone, content_hash(F.col("props"))).alias("content_hash"),
+        F.lit("c0").alias("config_id"), F.col("event_id").alias("source_sequence_number"), F.lit(0).cast("long").alias("source_committed_at"), gone.alias("deleted"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+
+
+def _users(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("source_row_id").cast("long").alias("user_id"), F.col("source_sequence_number").alias("seq"), "content_hash")
+
+
+@query(_COLLAPSE.format(h=_HISTORY, n="9223372036854775807"))
+def content_map_collapse(spark, sf_dir):
+    return _users(cm.live_entries(history(spark, sf_dir)))
+
+
+@query(_COLLAPSE.format(h=_HISTORY, n="5000"))
+def content_map_asof(spark, sf_dir):
+    return _users(cm.live_entries(history(spark, sf_dir), 5000))
+
+
+@query(f"select user_id, seq, content_hash, deleted, lead(seq) over (partition by user_id order by seq) is not null as superseded from ({_HISTORY})")
+def history_superseded(spark, sf_dir):
+    rows = cm.superseded(history(spark, sf_dir))
+    return rows.select(F.col("source_row_id").cast("long").alias("user_id"), F.col("source_sequence_number").alias("seq"), "content_hash", "deleted", "superseded")
+
+
+@query("select coalesce(max(event_id), 0) as latest_sequence from events")
+def latest_sequence(spark, sf_dir):
+    return cm.latest_sequence(history(spark, sf_dir))
+
+
+_LIVE = _COLLAPSE.format(h=_HISTORY, n="9223372036854775807")
+_KNOWN = "('0x' || substr(content_hash, 1, 7))::bigint % 10 > 0"
+
+
+def _known(c: str = "content_hash"):
+    """Nine contents in ten have a vector, by their hash."""
+    return F.conv(F.substring(c, 1, 7), 16, 10).cast("long") % 10 > 0
+
+
+@query(f"""with l as ({_LIVE}) select case when min(seq) filter (not ({_KNOWN})) is null then coalesce(max(seq), 0) else greatest(0, least(coalesce(max(seq), 0), min(seq) filter (not ({_KNOWN})) - 1)) end as covered_watermark,
+  count(*) filter (not ({_KNOWN})) as unresolved_rows from l""")
+def covered_watermark(spark, sf_dir):
+    live = cm.live_entries(history(spark, sf_dir))
+    return cm.covered_watermark(live, live.filter(~_known()))
+
+
+@query(f"with l as ({_LIVE}) select user_id, seq, content_hash from l where not ({_KNOWN})")
+def unresolved_rows(spark, sf_dir):
+    live = cm.live_entries(history(spark, sf_dir))
+    store = history(spark, sf_dir).filter("content_hash is not null").filter(_known()).select("content_hash").distinct()
+    return _users(live.join(store, "content_hash", "left_anti"))
+
+
+@query(f"with l as ({_LIVE}) select l.user_id from l where not exists (select 1 from events e where e.user_id = l.user_id and e.event_id % 97 = 0)")
+def sweep_vanished(spark, sf_dir):
+    """Live rows whose key the source (here: the users of every 97th event) no longer has."""
+    from vecloom.operators.changes import vanished
+
+    keys = read(spark, sf_dir, "events").filter("event_id % 97 = 0").select(F.col("user_id").cast("string").alias("source_row_id")).distinct()
+    return vanished(cm.live_entries(history(spark, sf_dir)), keys).select(F.col("source_row_id").cast("long").alias("user_id"))
+
+
+@query("select o_orderkey from orders o where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')")
+def reconcile_vanished(spark, sf_dir):
+    keys = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return read(spark, sf_dir, "orders").select("o_orderkey").join(keys, "o_orderkey", "left_anti")
+
+
+@query("""with l as (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as ordinal from lineitem),
+c as (select o_orderkey, (o_orderkey % 4)::bigint as n from orders)
+select o_orderkey, ordinal from c join l on l_orderkey = o_orderkey where ordinal >= n union select o_orderkey, 0 from c where n = 0""")
+def supersede_tombstones(spark, sf_dir):
+    """Live ordinals (an order's lines) past the new count of chunks (order key mod 4)."""
+    from vecloom.operators.derive import superseding
+
+    live = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_row_id"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("chunk_ordinal"))
+    n = (F.col("o_orderkey") % 4).cast("int")
+    chunks = F.when(n > 0, F.array_repeat(F.struct(F.lit(0).alias("ordinal"), F.lit("").alias("text")), n)).otherwise(F.array().cast("array<struct<ordinal:int,text:string>>"))
+    stamp = [F.lit(1).cast("long").alias(c) for c in ("__seq", "__snapshot_id", "__committed_at")]
+    plan = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("source_row_id"), chunks.alias("chunks"), *stamp)
+    return superseding(plan, live).select(F.col("source_row_id").cast("long").alias("o_orderkey"), F.col("chunk_ordinal").cast("long").alias("ordinal"))
+
+
+# -- projection
+
+_SLOT = "('0x' || substr(sha256({t}), 1, 7))::bigint % (select count(*) from embeddings)"
+
+
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content_hash, embedding: every document with its stored vector."""
+    docs = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", content_hash(F.col("text")).alias("content_hash"))
+    stored = StoredVectors(read(spark, sf_dir, "embeddings"))
+    distinct = docs.groupBy("content_hash").agg(F.min("text").alias("text"))
+    return docs.select("doc_id", "content_hash").join(stored.embed(distinct).select("content_hash", "embedding"), "content_hash")
+
+
+@query(f"select d.doc_id, sha256(d.text) as content_hash, e.vec_id, len(e.embedding)::int as embedding_dim from documents d join embeddings e on e.vec_id = {_SLOT.format(t='d.text')}")
+def projection_join(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    vectors = read(spark, sf_dir, "embeddings")
+    slot = StoredVectors(vectors).slot(F.col("content_hash"))
+    return docs.withColumn("slot", slot).join(vectors, F.col("slot") == F.col("vec_id")).select("doc_id", "content_hash", "vec_id", F.size("embedding").alias("embedding_dim"))
+
+
+@query(f"select count(*) as n_rows, count(distinct sha256(d.text)) as distinct_vectors, min(len(e.embedding))::int as min_dim, max(len(e.embedding))::int as max_dim from documents d join embeddings e on e.vec_id = {_SLOT.format(t='d.text')}")
+def projection_shape(spark, sf_dir):
+    return shape(_embedded(spark, sf_dir).withColumn("embedding_dim", F.size("embedding")))
+
+
+# -- similarity and search
+
+_Q = "(select embedding from embeddings where vec_id = 7)"
+_COS = f"round(list_cosine_similarity(embedding::double[], {_Q}::double[]), 6)"
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [float(x) for x in read(spark, sf_dir, "embeddings").filter("vec_id = 7").first()["embedding"]]
+
+
+@query(f"select vec_id, {_COS} as similarity, round(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) as norm from embeddings")
+def cosine_all(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine_to(F.col("embedding"), _query_vector(spark, sf_dir)), 6).alias("similarity"), F.round(norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"select vec_id, {_COS} as similarity from embeddings order by list_cosine_similarity(embedding::double[], {_Q}::double[]) desc, vec_id limit {K}")
+def exact_topk(spark, sf_dir):
+    return top_k(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), K, tie="vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"select vec_id, {_COS} as similarity from embeddings order by list_cosine_similarity(embedding::double[], {_Q}::double[]) desc, vec_id limit {K}")
+def sql_view_topk(spark, sf_dir):
+    """The generated query text, run with a bound vector over a view."""
+    from vecloom.plans.sqlview import run, spark_search
+
+    name = f"serving_{uuid.uuid4().hex[:8]}"
+    read(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 19, "0").alias("content_hash"), F.lit("").alias("source_row_id"), F.lit(0).alias("chunk_ordinal"), F.lit("").alias("text"), "embedding").createOrReplaceTempView(name)
+    vector = _query_vector(spark, sf_dir)
+    return run(spark, spark_search(name, len(vector)), vector, K).select(F.col("content_hash").cast("long").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+def _centroids(spark: SparkSession, sf_dir: str):
+    """Every n/CLUSTERS-th vector."""
+    import numpy as np
+
+    vectors = read(spark, sf_dir, "embeddings")
+    n = vectors.count()
+    rows = vectors.filter(F.col("vec_id").isin([i * n // CLUSTERS for i in range(CLUSTERS)])).orderBy("vec_id").select("embedding").collect()  # CLUSTERS rows
+    return np.array([r["embedding"] for r in rows], float)
+
+
+_CENT = f"select row_number() over (order by vec_id) - 1 as cluster_id, embedding as c from embeddings where vec_id in (select i * (select count(*) from embeddings) // {CLUSTERS} from range({CLUSTERS}) t(i))"
+_ASSIGN = f"""select vec_id, cluster_id::int as cluster_id, embedding from (select vec_id, cluster_id, embedding, row_number() over (partition by vec_id order by list_cosine_similarity(embedding::double[], c::double[]) desc, cluster_id) as r
+  from embeddings cross join ({_CENT})) where r = 1"""
+
+
+@query(f"select vec_id, cluster_id from ({_ASSIGN})")
+def centroid_assign(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", nearest_centroid(F.col("embedding"), _centroids(spark, sf_dir)).alias("cluster_id"))
+
+
+@query(f"select cluster_id, count(*) as n from ({_ASSIGN}) group by 1")
+def cluster_sizes(spark, sf_dir):
+    return centroid_assign(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+_PROBED = f"select cluster_id from ({_CENT}) order by list_cosine_similarity(c::double[], {_Q}::double[]) desc, cluster_id limit {PROBES}"
+_PROBE = f"select vec_id, cluster_id, {_COS} as similarity from ({_ASSIGN}) where cluster_id in ({_PROBED}) order by list_cosine_similarity(embedding::double[], {_Q}::double[]) desc, vec_id limit {K}"
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.operators.ivf import rank_clusters
+
+    centroids, vector = _centroids(spark, sf_dir), _query_vector(spark, sf_dir)
+    clustered = read(spark, sf_dir, "embeddings").withColumn("cluster_id", nearest_centroid(F.col("embedding"), centroids)).withColumn("content_hash", F.lpad(F.col("vec_id").cast("string"), 19, "0"))
+    return probe(clustered, rank_clusters(vector, centroids)[:PROBES], vector, K)
+
+
+@query(_PROBE)
+def cluster_probe(spark, sf_dir):
+    return _probe(spark, sf_dir).select("vec_id", "cluster_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""with p as ({_PROBE}), x as (select vec_id from embeddings order by list_cosine_similarity(embedding::double[], {_Q}::double[]) desc, vec_id limit {K})
+select count(p.vec_id) as hits, count(*) as wanted, count(p.vec_id) / count(*) as recall from x left join p on p.vec_id = x.vec_id""")
+def probe_recall(spark, sf_dir):
+    exact = top_k(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), K, tie="vec_id")
+    return recall(_probe(spark, sf_dir), exact, "vec_id").select(F.col("hits").cast("long").alias("hits"), "wanted", "recall")
+
+
+# -- control
+
+@query("select event_type as state, count(*) as n from events group by 1")
+def queue_depth(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("select event_id, event_type, priority from (select event_id, event_type, case when event_type = 'click' then 0 else 100 end as priority, ts from events) order by priority, ts, event_id limit 500")
+def queue_order(spark, sf_dir):
+    """The next lease: by priority, then age."""
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_type") == "click", 0).otherwise(100).alias("priority"), "ts")
+    return rows.orderBy("priority", "ts", "event_id").limit(500).select("event_id", "event_type", "priority")
+
+
+@query("select doc_id, sha256('m1' || chr(31) || source || chr(31) || doc_id::varchar) as dedup_key from documents")
+def work_dedup_key(spark, sf_dir):
+    assert len(dedup_key("m1", "s", 1)) == 64
+    return read(spark, sf_dir, "documents").select("doc_id", content_hash(F.concat_ws("\x1f", F.lit("m1"), F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))).alias("dedup_key"))
+
+
+# -- life cycles, over tables in the shared folder; held against brute force by the tests
+
+def _engine(spark: SparkSession, sf_dir: str):
+    from vecloom.plans.runner import Engine
+    from vecloom.sources.catalog import Catalog
+    from vecloom.sources.shared import shared_dir
+
+    return Engine(Catalog(spark, f"{shared_dir(spark)}/life/{uuid.uuid4().hex}"), StoredVectors(read(spark, sf_dir, "embeddings")))
+
+
+def _derived(spark: SparkSession, sf_dir: str, spec: Spec):
+    """An engine that has derived and published the documents, in two versions."""
+    engine = _engine(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    table = engine.catalog.load_or_create("documents", docs.schema)
+    table.append(docs.filter("doc_id % 2 = 0"))
+    table.append(docs.filter("doc_id % 2 = 1"))
+    id_ = engine.control.admit(spec).id
+    return engine, id_, engine.run_one(id_)
+
+
+@query("select (select count(*) from documents where text is not null) as n_rows, count(distinct text) as distinct_vectors, 64 as embedding_dim, 0 as unresolved_rows from documents where text is not null and not regexp_full_match(text, '\\s*')")
+def derive_publish(spark, sf_dir):
+    """Backfill, derivation and publishing; the summary of the serving table."""
+    _, _, got = _derived(spark, sf_dir, SPEC)
+    s = got["published"]
+    return spark.createDataFrame([(int(s["rows"]), int(s["distinct-vectors"]), int(s["embedding-dim"]), int(s["unresolved-rows"]))], "n_rows long, distinct_vectors long, embedding_dim int, unresolved_rows int")
+
+
+@query(f"""with c as ({_CHUNKS}), e as (select c.doc_id, c.chunk_ordinal, sha256(c.text) as content_hash, v.embedding from c join embeddings v on v.vec_id = {_SLOT.format(t='c.text')}),
+q as (select embedding from embeddings where vec_id = {_SLOT.format(t="(select text from documents where doc_id = 0)")})
+select content_hash, round(similarity, 6) as similarity, count(*) as n from (
+  select *, list_cosine_similarity(embedding::double[], (select embedding from q)::double[]) as similarity from e) where round(similarity, 6) = (
+    select round(max(list_cosine_similarity(embedding::double[], (select embedding from q)::double[])), 6) from e) group by 1, 2""")
+def derive_search(spark, sf_dir):
+    """Chunks, vectors, projection; then the contents most similar to the first document's vector."""
+    engine, _, _ = _derived(spark, sf_dir, CHUNKED)
+    text = read(spark, sf_dir, "documents").filter("doc_id = 0").first()["text"]
+    rows = engine.publisher.read(CHUNKED).withColumn("similarity", F.round(cosine_to(F.col("embedding"), engine.embedder.embed_query(text), "search"), 6))
+    best = rows.agg(F.max("similarity").alias("best"))
+    return rows.join(F.broadcast(best), F.col("similarity") == F.col("best")).groupBy("content_hash", "similarity").agg(F.count("*").alias("n"))  # one row
+
+
+@query()
+def index_lifecycle(spark, sf_dir):
+    """Build, reuse, extend and refit the cluster index as the contents change."""
+    engine, id_, _ = _derived(spark, sf_dir, SPEC)
+    out = [engine.index.build(SPEC)]
+    out.append(engine.index.build(SPEC))
+    table = engine.catalog.table("documents")
+    row = spark.createDataFrame([(1 << 40, "a text that no document has", "en", "new")], table.schema)
+    table.append(row)
+    engine.run_one(id_)
+    out.append(engine.index.build(SPEC))
+    table.delete_where(F.col("doc_id") == 1 << 40)
+    engine.run_one(id_)
+    out.append(engine.index.build(SPEC))
+    return spark.createDataFrame([(i, b.action, b.contents, b.clusters) for i, b in enumerate(out)], "step int, action string, contents long, clusters int")
+
+
+@query()
+def kmeans_fit(spark, sf_dir):
+    """Spherical k-means over all vectors: the size of each cluster."""
+    from vecloom.operators.ivf import assign, fit
+
+    vectors = read(spark, sf_dir, "embeddings").select(content_hash(F.col("vec_id").cast("string")).alias("content_hash"), "embedding")
+    centroids, _ = fit(vectors, CLUSTERS)
+    return assign(vectors, centroids).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@query("select count(*) as n, count(distinct doc_id) as ids, 1 as files from documents")
+def compaction_lossless(spark, sf_dir):
+    """Small appends, compaction, and what is left: rows, ids, files."""
+    from vecloom.operators.maintenance import compact
+
+    engine = _engine(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    table = engine.catalog.load_or_create("small", docs.schema)
+    for i in range(6):
+        table.append(docs.filter(F.col("doc_id") % 6 == i).coalesce(1))
+    compact(table, max_rows=1 << 40)
+    return table.read().agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).withColumn("files", F.lit(table.status()["files"]))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["exact_topk"](spark, sf_dir)
+    """Documents in overlapping chunks, derived, published, and searched for the first document's text."""
+    engine, _, _ = _derived(spark, sf_dir, CHUNKED)
+    text = read(spark, sf_dir, "documents").filter("doc_id = 0").first()["text"]
+    return engine.search(CHUNKED, text, K)
