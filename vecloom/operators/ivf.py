@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecloom.functions.identity import EMPTY_COVERAGE, clustered_name, coverage_digest
-from vecloom.functions.vectors import nearest_centroid, unit_or_null
+from vecloom.functions.vectors import unit_or_null
 from vecloom.operators.content_map import live_entries
 from vecloom.operators.projection import distinct_vectors
 from vecloom.operators.search import probe, recall, top_k
@@ -33,7 +35,7 @@ def fit(vectors: DataFrame, clusters: int, rounds: int = MAX_ROUNDS) -> tuple[np
     """Centroids of vectors (content_hash, embedding) and the rounds it took.
 
     Starts from every n/k-th vector in order of hash. A round assigns by cosine (the lowest id wins ties) and sums unit
-    vectors by cluster in double; only k centroids ever reach the driver. Empty clusters take an input vector. Stops
+    vectors by cluster in double, within each task first; only k centroids ever reach the driver. Empty clusters take an input vector. Stops
     when no assignment moves.
     """
     unit = vectors.select("content_hash", unit_or_null(F.col("embedding")).alias("u")).filter("u is not null")
@@ -50,11 +52,7 @@ def fit(vectors: DataFrame, clusters: int, rounds: int = MAX_ROUNDS) -> tuple[np
     centroids = np.array(seeds, np.float64)
     mark = None
     for done in range(rounds):
-        assigned = unit.select(nearest_centroid(F.col("u"), centroids).alias("c"), "u", "content_hash")
-        sums = assigned.groupBy("c").agg(
-            F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("content_hash"), F.lit(1 << 40))).alias("mark"),
-            F.array(*(F.sum(F.col("u")[i].cast("double")) for i in range(centroids.shape[1]))).alias("s"),
-        ).collect()  # at most k rows
+        sums = _round(unit, centroids).collect()  # at most k rows
         now = tuple(sorted((r["c"], r["n"], r["mark"]) for r in sums))
         if now == mark:
             return centroids, done
@@ -68,6 +66,40 @@ def fit(vectors: DataFrame, clusters: int, rounds: int = MAX_ROUNDS) -> tuple[np
     return centroids, rounds
 
 
+def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The most similar centroid of each vector, the lowest id among equals; zero vectors take 0."""
+    norms = np.linalg.norm(centroids, axis=1)
+    sims = vectors @ (centroids / np.where(norms > 0, norms, 1)[:, None]).T
+    return sims.argmax(1)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _round(unit: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """c, n, mark, s: the size, a checksum of members, and the vector sum of each cluster; summed by task first."""
+    model = unit.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CLUSTERS vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = model.value
+        n, mark, s = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(at.shape)
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("u"))
+                c = nearest(x, at)
+                n += np.bincount(c, minlength=len(at))
+                np.add.at(mark, c, batch.column("mark").to_numpy())
+                np.add.at(s, c, x)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(mark[own]), pa.array(list(s[own]), pa.list_(pa.float64()))], ["c", "n", "mark", "s"])
+
+    parts = unit.select("u", F.pmod(F.xxhash64("content_hash"), F.lit(1 << 40)).alias("mark")).mapInArrow(run, "c int, n long, mark long, s array<double>")
+    each = parts.select("c", "n", "mark", F.posexplode("s").alias("i", "x"))
+    whole = each.groupBy("c", "i").agg(F.sum("n").alias("n"), F.sum("mark").alias("mark"), F.sum("x").alias("x"))
+    return whole.groupBy("c").agg(F.max("n").alias("n"), F.max("mark").alias("mark"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"))
+
+
 def _at_ranks(unit: DataFrame, ranks: Sequence[int], n: int) -> list[list[float]]:
     """The vectors at places of the order by content_hash."""
     rows = unit.withColumn("b", F.substring("content_hash", 1, 4))
@@ -93,7 +125,17 @@ def _at_ranks(unit: DataFrame, ranks: Sequence[int], n: int) -> list[list[float]
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    return vectors.withColumn("cluster_id", nearest_centroid(F.col("embedding"), centroids))
+    """vectors with `cluster_id`; the centroids are broadcast, a batch is one matrix product."""
+    model = vectors.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CLUSTERS vectors
+    place = vectors.columns.index("embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = model.value
+        for batch in batches:
+            c = nearest(_matrix(batch.column(place)), at) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c.astype(np.int32))], [*batch.schema.names, "cluster_id"])
+
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("cluster_id", T.IntegerType())]))
 
 
 def rank_clusters(query: Sequence[float], centroids: np.ndarray) -> list[int]:
