@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFr
     return classes(docs, shingle, hot).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, hot: int = HOT) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFrame:
     """One row of docs for each component, all columns kept: that of the smallest (doc_id, hash of the text), nulls last."""
     each = classes(docs, shingle, hot).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("d"), F.col("h").alias("g"), "n")).alias("k")).select("k.d", "k.g", "k.n")
