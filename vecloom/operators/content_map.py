@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = ["source_table", "source_row_id", "chunk_ordinal", "config_id"]
@@ -61,7 +61,11 @@ def covered_watermark(live: DataFrame, unresolved: DataFrame) -> DataFrame:
     return top.crossJoin(low).select(mark.cast("long").alias("covered_watermark"), "unresolved_rows")  # one row each
 
 
-def invalid(entries: DataFrame) -> DataFrame:
-    """Entries that a content map refuses: live without content, or blank table, row or configuration."""
+def is_invalid() -> Column:
+    """Whether a content map refuses an entry: live without content, or blank table, row or configuration."""
     blank = [F.coalesce(F.trim(c), F.lit("")) == "" for c in ("source_table", "source_row_id", "config_id")]
-    return entries.filter((~F.col("deleted") & (F.coalesce(F.trim("content_hash"), F.lit("")) == "")) | blank[0] | blank[1] | blank[2])
+    return (~F.col("deleted") & (F.coalesce(F.trim("content_hash"), F.lit("")) == "")) | blank[0] | blank[1] | blank[2]
+
+
+def invalid(entries: DataFrame) -> DataFrame:
+    return entries.filter(is_invalid())

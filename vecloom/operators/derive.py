@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from vecloom.functions import chunkers
 from vecloom.functions.identity import canonical_text, content_hash, hash_prefix, row_id
 from vecloom.functions.vectors import normalized
-from vecloom.operators.content_map import invalid, live_ordinals
+from vecloom.operators.content_map import is_invalid, live_ordinals
 from vecloom.plans.spec import Spec
 from vecloom.sources.embedders import Embedder
 from vecloom.sources.schemas import LAYOUT
 from vecloom.sources.catalog import Catalog
 from vecloom.sources.shared import shared_dir
+from vecloom.sources.versioned import APPEND
 
 REFUSED = ("array", "map", "struct", "binary", "void", "variant")
 
@@ -60,6 +61,16 @@ def planned(rows: DataFrame, spec: Spec) -> DataFrame:
     return rows.select(row_id(spec.key_columns).alias("source_row_id"), text.alias("__text"), "__seq", "__snapshot_id", "__committed_at").select("source_row_id", chunkers.of_spec(spec)(F.col("__text")).alias("chunks"), "__seq", "__snapshot_id", "__committed_at")
 
 
+def slim(plan: DataFrame) -> DataFrame:
+    """The plan with content hashes in place of texts: small enough to write and read again."""
+    return plan.withColumn("chunks", F.transform("chunks", lambda c: F.struct(c["ordinal"].alias("ordinal"), content_hash(c["text"]).alias("content_hash"))))
+
+
+def mapped(plan: DataFrame) -> DataFrame:
+    """One row a chunk of a slim plan."""
+    return plan.filter("source_row_id is not null").select("source_row_id", F.explode("chunks").alias("c"), "__seq", "__snapshot_id", "__committed_at").select("source_row_id", F.col("c.ordinal").alias("chunk_ordinal"), F.col("c.content_hash").alias("content_hash"), "__seq", "__snapshot_id", "__committed_at")
+
+
 def exploded(plan: DataFrame) -> DataFrame:
     """One row a chunk, with its content hash."""
     return plan.filter("source_row_id is not null").select("source_row_id", F.explode("chunks").alias("c"), "__seq", "__snapshot_id", "__committed_at").select("source_row_id", F.col("c.ordinal").alias("chunk_ordinal"), F.col("c.text").alias("text"), content_hash(F.col("c.text")).alias("content_hash"), "__seq", "__snapshot_id", "__committed_at")
@@ -137,47 +148,41 @@ class Deriver:
         """Derive stamped rows; with a batch_key, at most once."""
         if batch_key and any(c.summary.get("batch-key") == batch_key for c in self.map.commits()):
             return Counters()
-        plan = self._kept(planned(rows, spec), "plan")
-        chunks = exploded(plan)
+        source = planned(rows, spec)
+        plan = self._kept(slim(source), "plan")
+        chunks = mapped(plan)
         store = self.store.read(partition={"model_version": spec.model_version})
-        contents = self._kept(distinct_content(chunks), "contents")
+        contents = chunks.select("content_hash").distinct()
         novel = self._kept(novel_content(contents, store, spec), "novel")
         n_distinct, n_novel = contents.count(), novel.count()
-        if n_novel:
-            made = self._kept(store_rows(self.embedder.embed(novel), spec), "vectors")
-            widths = [r[0] for r in made.select("embedding_dim").distinct().limit(2).collect()]
-            if len(widths) > 1:
-                raise ValueError(f"vectors of different widths: {sorted(widths)}")
-            if widths:
-                self.store.append(made)
-            lost = novel.join(made, "content_hash", "left_anti").select("content_hash")
-        else:
-            lost = novel.select("content_hash")
-        lost = self._kept(lost, "lost")
-        held = chunks.join(lost, "content_hash", "left_semi").select("source_row_id").distinct() if n_novel else None
-        good, kept_plan = chunks, plan
-        n_held = 0
-        if held is not None and not lost.isEmpty():
-            held = self._kept(held, "held")
-            n_held = held.count()
-            good, kept_plan = chunks.join(held, "source_row_id", "left_anti"), plan.join(held, "source_row_id", "left_anti")
-        live = live_ordinals(self.history(spec), kept_plan)
-        gone = self._kept(superseding(kept_plan, live), "gone")
-        entries = map_rows(good, spec, False).union(map_rows(gone, spec, True))
-        self._append(entries, {"batch-key": batch_key} if batch_key else {})
+        good, kept_plan, n_held = chunks, plan, 0
+        if n_novel:  # texts are read again for novel content alone, and never written but with their vectors
+            texts = distinct_content(exploded(source).join(novel, "content_hash", "left_semi"))
+            files = self.store.stage(store_rows(self.embedder.embed(texts), spec))
+            made = self.store.read_files(files)
+            seen = made.agg(F.count("*").alias("n"), F.min("embedding_dim").alias("least"), F.max("embedding_dim").alias("most")).first()
+            if seen["least"] != seen["most"]:
+                raise ValueError(f"vectors of different widths: {seen['least']} to {seen['most']}")
+            if files:
+                self.store.commit(APPEND, files)
+            if seen["n"] < n_novel:
+                lost = novel.join(made, "content_hash", "left_anti")
+                held = self._kept(chunks.join(lost, "content_hash", "left_semi").select("source_row_id").distinct(), "held")
+                n_held = held.count()
+                good, kept_plan = chunks.join(held, "source_row_id", "left_anti"), plan.join(held, "source_row_id", "left_anti")
+        gone = superseding(kept_plan, live_ordinals(self.history(spec), kept_plan))
+        n_gone = self._append(map_rows(good, spec, False).union(map_rows(gone, spec, True)), {"batch-key": batch_key} if batch_key else {})
         sums = plan.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("source_row_id").isNotNull(), F.size("chunks"))), F.lit(0)).alias("chunks"), F.count_if(F.col("source_row_id").isNull()).alias("bad")).first()
-        return Counters(sums["rows"], sums["chunks"], n_distinct, sums["chunks"] - n_novel, n_novel, sums["bad"] + n_held, gone.count())
+        return Counters(sums["rows"], sums["chunks"], n_distinct, sums["chunks"] - n_novel, n_novel, sums["bad"] + n_held, n_gone)
 
     def delete(self, rows: DataFrame, spec: Spec) -> int:
         """Tombstones for rows (source_row_id, __seq, __snapshot_id, __committed_at)."""
-        gone = self._kept(tombstones(rows, live_ordinals(self.history(spec), rows)), "gone")
-        self._append(map_rows(gone, spec, True), {})
-        return gone.count()
-
-    def _append(self, entries: DataFrame, summary: dict[str, str]) -> None:
-        entries = self._kept(entries, "entries")
-        wrong = invalid(entries)
-        if not wrong.isEmpty():
-            raise ValueError(f"content map entries without content, table, row or configuration: {wrong.limit(3).collect()}")
-        if summary or not entries.isEmpty():
-            self.map.append(entries, summary)
+        return self._append(map_rows(tombstones(rows, live_ordinals(self.history(spec), rows)), spec, True), {})
+
+    def _append(self, entries: DataFrame, summary: dict[str, str]) -> int:
+        """Commit entries, and say how many are tombstones; a bad one fails the write before the commit."""
+        refuse = F.raise_error(F.lit("a content map entry without content, table, row or configuration")).cast("boolean")
+        files = self.map.stage(entries.filter(F.when(is_invalid(), refuse).otherwise(True)))
+        if summary or files:
+            self.map.commit(APPEND, files, summary=summary)
+        return self.map.read_files(files).filter("deleted").count()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.identity import EMPTY_COVERAGE, clustered_name, coverage_digest
+from vecloom.functions.identity import EMPTY_COVERAGE, clustered_name, tree_digest
 from vecloom.functions.vectors import unit_or_null
 from vecloom.operators.content_map import live_entries
 from vecloom.operators.projection import distinct_vectors
@@ -66,6 +66,12 @@ def fit(vectors: DataFrame, clusters: int, rounds: int = MAX_ROUNDS) -> tuple[np
     return centroids, rounds
 
 
+def covered(rows: DataFrame) -> str:
+    """The digest of the contents of rows, folded by executors; one row reaches the driver."""
+    found = tree_digest(rows).first()
+    return found["digest"] if found else EMPTY_COVERAGE
+
+
 def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The most similar centroid of each vector, the lowest id among equals; zero vectors take 0."""
     norms = np.linalg.norm(centroids, axis=1)
@@ -206,7 +212,7 @@ class ClusterIndex:
             raise ValueError("there are no canonical vectors to index")
         if now.select("embedding_dim").distinct().limit(2).count() > 1:
             raise ValueError("canonical vectors have different widths")
-        digest, had, known = coverage_digest(now), self.coverage(spec), self.centroids(spec)
+        digest, had, known = covered(now), self.coverage(spec), self.centroids(spec)
         indexed = self.clustered(spec)
         if not force and had is not None and known is not None and not indexed.isEmpty():
             if had["coverage_digest"] == digest:
@@ -244,7 +250,7 @@ class ClusterIndex:
         had = self.coverage(spec)
         if had is None:
             return UNKNOWN
-        now = coverage_digest(self.canonical(spec))
+        now = covered(self.canonical(spec))
         return FRESH if now == had["coverage_digest"] and now != EMPTY_COVERAGE else BEHIND
 
     def status(self) -> DataFrame:

@@ -155,7 +155,7 @@ class Control:
         per_row = 1
         if spec.chunker == "fixed" and s["records"] and s["bytes"]:
             share = min(1.0, len(spec.embedding_columns) / len(table.schema))
-            per_row = max(1, math.ceil(s["bytes"] / s["records"] * share / (spec.chunk_size - spec.chunk_overlap)))
+            per_row = max(1, math.ceil(s["bytes"] / s["records"] * share / max(1, spec.chunk_size - spec.chunk_overlap)))
         return {"rows": s["records"], "files": s["files"], "bytes": s["bytes"], "chunks_per_row": per_row, "chunks": math.ceil(s["records"] * per_row)}
 
     # -- life

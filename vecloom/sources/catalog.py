@@ -53,7 +53,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     if not any(p.endswith("_log/table.json") for p, _ in Store(spark, root).files("")):
         return spark.createDataFrame([], "uuid string, name string, location string, columns string, partition_by array<string>, format_version int, snapshots long, last_seq long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).filter(F.col("path").rlike("/_log/[^/]+\\.json$"))
-    parts = files.select(F.regexp_extract("path", "^(.*)/_log/([^/]+)\\.json$", 1).alias("location"), F.regexp_extract("path", "/_log/([^/]+)\\.json$", 1).alias("entry"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    parts = files.select(F.regexp_extract("path", "^(.*)/_log/([^/]+)\\.json$", 1).alias("location"), F.regexp_extract("path", "/_log/([^/]+)\\.json$", 1).alias("entry"), F.decode("content", "UTF-8").alias("text"))
     log = parts.filter("entry != 'table'").groupBy("location").agg(F.count("*").alias("snapshots"), F.max(F.col("entry").cast("long")).alias("last_seq"))
     meta = parts.filter("entry = 'table'").select(
         "location", F.get_json_object("text", "$.uuid").alias("uuid"), F.get_json_object("text", "$.name").alias("name"), F.get_json_object("text", "$.schema").alias("columns"),
