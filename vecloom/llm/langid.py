@@ -68,8 +68,8 @@ def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(n):
             h = (h ^ cps[at + k]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-        # an n-gram that begins with the space before a word belongs to the word
-        yield (h >> np.uint32(32 - BITS)).astype(np.int32), doc[at + (1 if n > 1 else 0)]
+        # the spaces around a word may be another text's: an n-gram belongs to its first letter's
+        yield (h >> np.uint32(32 - BITS)).astype(np.int32), doc[np.where(is_letter[at], at, at + 1)]
 
 
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray]:
