@@ -18,7 +18,7 @@ def test_life_cycles(spark, duck):
     steps = registry.index_lifecycle(spark, SF).orderBy("step").collect()
     assert [r["action"] for r in steps] == ["refitted", "reused", "extended", "refitted"]
     n = registry.kmeans_fit(spark, SF).agg({"n": "sum"}).first()[0]
-    assert n == duck.sql("select count(*) from embeddings").fetchone()[0]
+    assert n == duck.execute("select count(*) from embeddings").fetchone()[0]
 
 
 def test_entry_point_works_without_the_corpus_operators(spark, duck, monkeypatch):
