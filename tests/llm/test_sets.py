@@ -25,16 +25,17 @@ def words(n):
 # -- op3
 
 def brute(vectors, k, every):
+    """(query id, rank, row's id, score) of every distinct query vector."""
     ok = [(i, np.floor(np.array(v, float) * 256).astype(np.int64)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = max((len(v) for _, v in ok), default=0)
     x = np.array([np.pad(v, (0, width - len(v))) for _, v in ok]).reshape(len(ok), width)
     ids = np.array([i for i, _ in ok])
     out = []
-    for q in sorted(set(ids[ids % every == 0].tolist())):
-        s = x @ x[np.flatnonzero(ids == q)[0]]
+    for q, v in sorted({(i, tuple(v.tolist())) for i, v in ok if i % every == 0}):
+        s = x @ np.pad(np.array(v, np.int64), (0, width - len(v)))
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
         out += [(q, r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(order)]
-    return out
+    return sorted(out)
 
 
 def test_bit_sliced_search_equals_brute_force(spark, monkeypatch):
@@ -44,13 +45,22 @@ def test_bit_sliced_search_equals_brute_force(spark, monkeypatch):
     vectors = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     vectors += [(1000, None), (1050, [float("nan")] * 70), (1100, [None] * 70), (1150, [float("inf")] * 70), (1200, []), (1250, [1.0, -1.0]), (None, [1.0] * 70), (3, vectors[3][1])]
     table = spark.createDataFrame([(i, v, 0, "c") for i, v in vectors], "vec_id long, embedding array<float>, label int, score string")
-    for group in (65_536, 4):
-        got = [tuple(r) for r in bitslice.search(table, group=group).orderBy("query_id", "rank").collect()]
+    for group in (bitslice.QUERY_BYTES, 2000):
+        got = sorted(tuple(r)[:4] for r in bitslice.search(table, group_bytes=group).collect())
         assert got == brute(vectors, 5, 50)
     few = table.filter("vec_id in (50, 51, 52)")
     assert bitslice.search(few).count() == 2 and bitslice.search(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("own", [1, 2, 6, 7, 20])
+def test_search_finds_k_others_however_many_rows_share_the_query_id(spark, own):
+    x = rng.normal(0, 0.5, (100, 16)).astype(np.float32)
+    vectors = [(i + 1, [float(v) for v in r]) for i, r in enumerate(x)]
+    vectors = [(i, v) for i, v in vectors if i % 50] + [(50, vectors[0][1])] * own + [(100, [float(v) for v in rng.normal(0, 2, 16)]) for _ in range(own)]
+    got = bitslice.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r)[:4] for r in got) == brute(vectors, 5, 50) and len({r["query_digest"] for r in got}) == own + 1 and len(got) == 5 * (own + 1)
+
+
 # -- op4
 
 def naive_print(t, n=3):
