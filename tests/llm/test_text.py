@@ -214,3 +214,81 @@ def test_main_text(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert (by[2], by[3], by[4], by[5], by[6], by[7]) == ("", "", "just text", "cut short", "Deep text, in a deep page.", "") and len(by[8]) == 600_000 - 1
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+PROSE = "<p>First paragraph, with <b>bold</b> text, long enough to count as prose, surely it is.</p><p>Second one, also with words, and more words that follow here, to be long.</p>"
+WANT = "First paragraph, with bold text, long enough to count as prose, surely it is.\n\nSecond one, also with words, and more words that follow here, to be long."
+NAMES = ["has-sidebar", "side", "widget", "notice", "legal", "share-enabled", "comment-free", "related-content", "nav-open", "search-results-article"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_wrapper_with_a_telling_name_does_not_empty_the_page(name):
+    around = '<html><body><nav><a href=/>Home</a></nav><div class="{}">{}</div><div class="cookie-notice">We use cookies, as all do.</div><footer>Copyright, us, and all of them</footer></body></html>'
+    for inner in (f"<article>{PROSE}</article>", PROSE, f"<main>{PROSE}</main>"):
+        assert html.extract(around.format(name, inner)) == WANT
+        assert html.extract(around.format(name, f'{inner}<div class="sidebar">Other things, to be read.</div>')) == WANT
+
+
+def test_what_stands_beside_the_text_goes():
+    for gone in ("<div class=comments><p>{}</p></div>", "<aside>{}</aside>", "<div id='cookie-banner'>{}</div>", "<form><label>{}</label></form>", "<div role=navigation>{}</div>", "<p hidden>{}</p>", "<div style='display: none'>{}</div>", "<div class='related-links'><p>{}</p></div>", "<script>{}</script>", "<style>{}"):
+        assert html.extract(f"<article>{PROSE}" + gone.format("Words, of no use, at all. " * 20) + "</article>") == WANT, gone
+    assert html.extract("<nav>Home</nav><footer>Us</footer>") == "" == html.extract("<script>var x</script><style>p{}</style>")
+
+
+def test_tolerant_markup():
+    cases = {
+        '<p>before, text <a href="x>click</a> after, more</p><p>next, one</p>': "before, text click after, more\n\nnext, one",
+        "<p title=it's>one, two, three</p><p title=it's>four, five</p>": "one, two, three\n\nfour, five",
+        "<p>a <label>lab</label> and <math><mi>x</mi></math> in a paragraph, here.</p>": "a lab and x in a paragraph, here.",
+        "<p>1 < 2 and 3 <4, a <- b</p>": "1 < 2 and 3 <4, a <- b",
+        "<p a='>' b=\">\" c=d/e/>x, y</p>": "x, y",
+        "<!-- a --><p>x<!-- > <p>no</p> --> y</p><!-->z": "x y\n\nz",
+        "<html><head><title>T</title><p>no body tag, and text</p>": "no body tag, and text",
+        "<table><tr><td>a, b<td>c<tr><td>d</table>": "a, b\n\nc\n\nd",
+        "<p>&am" + "p;amp; &eacute; &#x41;&nbsp; &bogus;</p>": "&amp; é A &bogus;",
+    }
+    for page, want in cases.items():
+        assert html.extract(page) == want, page
+    main = f"<main><p>An intro paragraph, which belongs to the page.</p><article><h1>H</h1>{PROSE}</article><p>An outro paragraph, which belongs to it as well.</p><aside>no, not this</aside></main>"
+    assert html.extract(main) == f"An intro paragraph, which belongs to the page.\n\nH\n\n{WANT}\n\nAn outro paragraph, which belongs to it as well."
+
+
+@pytest.mark.parametrize("page", ["<div>{n}<p>Deep text, here.</p>", "<p><b>{n}word", "<a href=\"x>{n}", "<div class=widget>{n}<p>text, is here</p>", "<ul><li>{n}y", "<!--{n}", "<div =\"'{n}", "</div>{n}x"])
+def test_hostile_pages_take_time_in_proportion(page):
+    import time
+
+    unit, rest = page.split("{n}")
+    began = time.process_time()
+    html.extract(unit * 100_000 + rest)
+    assert time.process_time() - began < 20  # a quadratic reader would take minutes
+
+
+def elements(rand, depth):
+    """A random page of well-formed elements, and the text of its article by another way."""
+    blocks, markup = [], []
+    for _ in range(rand.integers(2, 6)):
+        ws = " ".join("".join(rand.choice(list("abcdefgh"), 6)) for _ in range(rand.integers(12, 40)))
+        kind = rand.choice(["p", "blockquote", "li", "h2", "div", "aside", "ads"])
+        if kind == "aside":
+            markup.append(f"<aside><p>{ws[:60]}</p></aside>")
+        elif kind == "ads":
+            markup.append(f'<div class="ad">{ws[:40]}</div>')
+        elif kind == "div" and depth:
+            inner, own = elements(rand, depth - 1)
+            markup.append(f"<div>{inner}</div>")
+            blocks += own
+        elif kind == "li":
+            markup.append(f"<ul><li>{ws}</ul>")
+            blocks.append(ws)
+        else:
+            kind = "p" if kind == "div" else kind
+            markup.append(f"<{kind}>{ws[:20]}<i>{ws[20:]}</i></{kind}>")
+            blocks.append(ws)
+    return "\n".join(markup), blocks
+
+
+def test_random_pages_give_their_blocks():
+    for seed in range(200):
+        inner, own = elements(np.random.default_rng(seed), 2)
+        page = f"<html><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title</h1>{inner}</article><footer>Us</footer></body></html>"
+        assert html.extract(page) == "\n\n".join(["Title", *own]), seed
