@@ -4,11 +4,18 @@ Model files are read by a small protobuf reader (pieces, scores, kinds, trainer
 normalisation with escaped spaces is supported, others raise. Texts are cut where no piece can reach across (before a
 run of spaces, around characters that no piece holds), so each distinct word is encoded once per batch.
 
-Unigram models: Viterbi. Words of equal length advance together; the hash of every substring is taken from prefix
-hashes, probed in the sorted hashes of the pieces, and vectorised maxima keep score and backpointer of each position.
-BPE models: their ids follow from merge order, which a best-score path does not give (README has figures), so words of
-equal length run the merge loop together over the same table of probed substrings: the best-scored adjacent pair of
-each word, the leftmost among equals, is merged per step. Words over LONG characters use a heap of merges.
+Viterbi: words of equal length advance together; the hash of every substring is taken from prefix hashes, probed in
+the sorted hashes of the pieces, and vectorised maxima keep score and backpointer of each position. In unigram models a
+path's score is the sum of its pieces' scores.
+
+BPE models: their ids follow from merge order, which the best sum of scores does not give (README has figures), but a
+Viterbi path does: a sequence of pieces is what merging gives if and only if that holds for each two neighbours, and of
+the pieces that end at a position just one fits the piece before it. So a transition scores its length if merging would
+leave the two pieces side by side, and nothing else; the maximum is the one that fits. Whether two pieces fit is told by
+undoing their merges, latest first, and looking for a merge across their border that would have come sooner; answers
+are kept in a table of fixed size. `merge` runs the merge loop itself; tests hold the path, the loop and the library
+against each other. Words over LONG characters are cut between characters that no piece holds side by side; what is
+still longer advances alone, by the same rule.
 
 Defined results. Null text: null ids in `encode`; empty text: no ids. Unknown characters become byte pieces if the
 model has them, else the unknown id. Round trips are exact but for U+2581, which decodes as a space. Texts are
@@ -17,7 +24,6 @@ encoded whole; repeated rows give equal ids; extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -31,7 +37,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 LONG = 48
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 500_000
+#: Bytes of words, and of their ids, that a task keeps from one batch to the next.
+CACHE_BYTES = 16 << 20
+#: Entries of the table of pairs of pieces that fit or don't.
+FITS = 1 << 18
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -94,14 +103,20 @@ class PieceModel:
             usable = [(p, i) for p, i in usable if self.kinds[i] != UNUSED]
         self.ids = dict(usable)
         self.longest = max((len(p) for p, _ in usable), default=1)
-        keys = {int(substring_hashes(p)): i for p, i in usable}
-        if len(keys) != len(self.ids):
+        hashes = np.zeros(len(self.pieces), np.uint64)
+        self.sizes: dict[int, np.ndarray] = {}  # pieces by length
+        for p, i in self.ids.items():
+            self.sizes.setdefault(len(p), []).append(i)
+        for n, same in self.sizes.items():
+            self.sizes[n] = np.array(same)
+            for x in self.points(self.sizes[n], n).T:
+                hashes[same] = mix(hashes[same], x.astype(np.uint64) + np.uint64(1))
+        own = np.array(sorted(self.ids.values()))
+        order = own[np.argsort(hashes[own], kind="stable")]
+        self.keys, self.key_ids = hashes[order], order.astype(np.int32)
+        if (np.diff(self.keys) == 0).any():
             raise ValueError("two pieces share a hash")
-        self.keys = np.array(sorted(keys), np.uint64)
-        self.key_ids = np.array([keys[int(k)] for k in self.keys], np.int32)
-        # a probe looks at the keys that share the hash's top 20 bits
-        self.starts = np.append(np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)), len(self.keys)).astype(np.int32)
-        self.span = int(np.diff(self.starts).max(initial=1))
+        self.spread()
         low = min((self.scores[i] for _, i in usable), default=0.0)
         self.score = np.array(self.scores, np.float64)
         self.unknown_score = low - 10.0
@@ -109,14 +124,39 @@ class PieceModel:
         order = np.argsort(-self.score, kind="stable")
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
+        self.pairs = {c for p in self.ids for c in zip(p, p[1:])}
+        if self.model_type == BPE:
+            self.learn_merges()
         inside = any(META in p.lstrip(META) for p in self.ids)
         known = set("".join(self.ids))
         loose = "".join(c for c in "\n\t\r" if c not in known)
         loose = re.escape(loose)
         self.cut = None if inside else re.compile(f"{META}*[^{META}{loose}]+|{META}+" + (f"|[{loose}]" if loose else ""))
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(META, " ").encode("utf-8", "replace") for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.forget()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("places", "flat", "begin", "held", "fit_keys", "fit_values", "starts")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.spread()
+        self.forget()
+
+    def spread(self) -> None:
+        """The place of the keys that share a hash's top 20 bits, for probes; and the table of pairs, empty."""
+        self.starts = np.append(np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)), len(self.keys)).astype(np.int32)
+        self.span = int(np.diff(self.starts).max(initial=1))
+        self.fit_keys, self.fit_values = np.full(FITS, -1, np.int64), np.zeros(FITS, bool)
+
+    def forget(self) -> None:
+        """Drop the words met so far."""
         self.places: dict[str, int] = {}
-        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.begin, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def points(self, which: np.ndarray, n: int) -> np.ndarray:
+        """Code points of pieces of n characters, one row each."""
+        return np.frombuffer("".join(self.pieces[i] for i in which).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(which), n)
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of the hashes, -1 where there is none."""
@@ -165,6 +205,19 @@ class PieceModel:
                 counts.append(count)
         return order, np.concatenate(flats), np.concatenate(counts)
 
+    def long_word(self, word: str) -> np.ndarray:
+        """A long word, in parts between which no piece reaches."""
+        stops = [i for i in range(1, len(word)) if (word[i - 1], word[i]) not in self.pairs]
+        parts = [word[i:j] for i, j in zip([0, *stops], [*stops, len(word)], strict=True)]
+        short = list(dict.fromkeys(p for p in parts if len(p) <= LONG))
+        order, flat, counts = self.encode_words(short) if short else ([], np.zeros(0, np.int32), np.zeros(0, np.int64))
+        stop = np.cumsum(counts)
+        known = {p: flat[e - n : e] for p, e, n in zip(order, stop.tolist(), counts.tolist(), strict=True)}
+        found = [known[p] if len(p) <= LONG else np.array(self.alone(p), np.int32) for p in parts]
+        if not self.byte_fallback:  # neighbouring unknown characters are one unknown piece
+            found = [x for i, x in enumerate(found) if not (i and len(x) == 1 and x[0] == self.unknown and len(found[i - 1]) and found[i - 1][-1] == self.unknown)]
+        return np.concatenate(found)
+
     def table(self, cps: np.ndarray) -> np.ndarray:
         """[word, start, length - 1] -> piece id or -1, for words as rows of code points."""
         m, n = cps.shape
@@ -180,7 +233,7 @@ class PieceModel:
     def same_length(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
         cps = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
         ids = self.table(cps)
-        ends = self.viterbi(ids) if self.model_type == UNIGRAM else self.merge(ids)
+        ends = self.viterbi(ids)
         # ends[w, i]: the exclusive end of the symbol that starts at i, 0 where none starts
         w, start = np.nonzero(ends)
         length = ends[w, start] - start
@@ -203,16 +256,25 @@ class PieceModel:
         return [self.unknown]
 
     def viterbi(self, ids: np.ndarray) -> np.ndarray:
+        """[word, start] -> the exclusive end of the piece that starts there on the best path, 0 where none starts."""
         m, n, width = ids.shape
-        best = np.full((m, n + 1), -np.inf)
+        bpe = self.model_type == BPE
+        best = np.full((m, n + 1), 0.0 if bpe else -np.inf)
         best[:, 0] = 0
         back = np.zeros((m, n + 1), np.int64)
+        ending = np.full((m, n + 1), -1, np.int32)  # the last piece of the best path to a position
+        every = np.arange(m)
         for end in range(1, n + 1):
             k = np.arange(min(end, width), 0, -1)  # among equals the longest last piece, as the library has it
             piece = ids[:, end - k, k - 1]
-            s = np.where(piece >= 0, self.score[piece], np.where((k == 1)[None, :], self.unknown_score, -np.inf)) + best[:, end - k]
+            if bpe:
+                s = np.where((piece < 0) & (k == 1)[None, :], 0.5, -1.0)  # a character without a piece stands alone
+                w, j = np.nonzero((piece >= 0) & self.reachable[piece])
+                s[w, j] = np.where(self.fit(ending[w, end - k[j]], piece[w, j]), k[j], -1.0)
+            else:
+                s = np.where(piece >= 0, self.score[piece], np.where((k == 1)[None, :], self.unknown_score, -np.inf)) + best[:, end - k]
             top = s.argmax(1)
-            best[:, end], back[:, end] = s[np.arange(m), top], end - k[top]
+            best[:, end], back[:, end], ending[:, end] = s[every, top], end - k[top], piece[every, top]
         ends = np.zeros((m, n), np.int64)
         at, rows = np.full(m, n), np.arange(m)
         while len(rows):
@@ -233,7 +295,111 @@ class PieceModel:
                         last = -1
         return ends
 
-    def merge(self, ids: np.ndarray) -> np.ndarray:
+    def alone(self, word: str) -> list[int]:
+        """The same path for one word."""
+        n, bpe = len(word), self.model_type == BPE
+        best, back, ending = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for end in range(1, n + 1):
+            for k in range(min(end, self.longest), 0, -1):
+                p = self.ids.get(word[end - k : end], -1)
+                if p < 0 and k > 1:
+                    continue
+                if bpe:
+                    s = 0.5 if p < 0 else float(k) if self.reachable[p] and self.fits(ending[end - k], p) else -1.0
+                else:
+                    s = best[end - k] + (self.unknown_score if p < 0 else self.scores[p])
+                if s > best[end]:
+                    best[end], back[end], ending[end] = s, end - k, p
+        spans, end = [], n
+        while end:
+            spans.append((back[end], end, ending[end]))
+            end = back[end]
+        out: list[int] = []
+        for lo, hi, p in reversed(spans):
+            if p < 0 and not self.byte_fallback and out and out[-1] == self.unknown:
+                continue
+            out += [p] if p >= 0 else self.unknown_ids(word[lo:hi])
+        return out
+
+    # -- BPE: which pieces can stand side by side
+
+    def learn_merges(self) -> None:
+        """For each piece its rank as a merge (-1 for a character) and the two pieces that are merged last in it."""
+        n = len(self.pieces)
+        self.level, self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        self.reachable = np.zeros(n, bool)
+        keys, made = [], []
+        for p, i in self.ids.items():
+            for j in range(1, len(p)):
+                a, b = self.ids.get(p[:j]), self.ids.get(p[j:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    made.append(int(self.rank[i]))
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+        for size, same in self.sizes.items():
+            if size == 1:
+                self.reachable[same] = True
+                continue
+            for lo in range(0, len(same), 4096):
+                part = same[lo : lo + 4096]
+                ids, mid = self.table(self.points(part, size)), np.zeros(len(part), np.int64)
+                whole = self.merge(ids, mid)[:, 0] == size
+                rows = np.flatnonzero(whole)
+                self.reachable[part[whole]] = True
+                self.level[part[whole]] = self.rank[part[whole]]
+                self.left[part[whole]] = ids[rows, 0, mid[rows] - 1]
+                self.right[part[whole]] = ids[rows, mid[rows], size - mid[rows] - 1]
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging leaves the pieces a and b side by side; -1 in a stands for no piece."""
+        out = np.ones(len(a), bool)
+        at = np.flatnonzero(a >= 0)
+        key = a[at].astype(np.int64) << 32 | b[at].astype(np.int64)
+        slot = (key.astype(np.uint64) * BASE >> np.uint64(46)).astype(np.int64)
+        hit = self.fit_keys[slot] == key
+        out[at[hit]] = self.fit_values[slot[hit]]
+        if not hit.all():
+            new, where = np.unique(key[~hit], return_inverse=True)
+            value = self.unmerge(new >> 32, new & 0xFFFFFFFF)
+            out[at[~hit]] = value[where]
+            slot = (new.astype(np.uint64) * BASE >> np.uint64(46)).astype(np.int64)
+            self.fit_keys[slot], self.fit_values[slot] = new, value
+        return out
+
+    def unmerge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        rows, a, b = np.arange(len(a)), a.copy(), b.copy()
+        limit = np.full(len(a), 1 << 40)
+        while len(rows):
+            key = a << 32 | b
+            i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            across = np.where(self.pair_keys[i] == key, self.pair_ranks[i], 1 << 40) if len(self.pair_keys) else np.full(len(rows), 1 << 40)
+            la, lb = self.level[a], self.level[b]
+            sound = across >= limit
+            sound[limit == 1 << 40] = across[limit == 1 << 40] == 1 << 40
+            done = sound & (la < 0) & (lb < 0)
+            out[rows[done]] = True
+            going = sound & ~done
+            rows, a, b, la, lb = rows[going], a[going], b[going], la[going], lb[going]
+            first = la > lb  # the merge that came last is undone; of equal ones, that on the right
+            limit = np.where(first, la, lb + 1)
+            a, b = np.where(first, self.right[a], a).astype(np.int64), np.where(first, b, self.left[b]).astype(np.int64)
+        return out
+
+    def fits(self, a: int, b: int) -> bool:
+        """fit() of one pair."""
+        if a < 0:
+            return True
+        key = a << 32 | b
+        slot = (key * int(BASE) & (1 << 64) - 1) >> 46
+        if self.fit_keys[slot] != key:
+            self.fit_values[slot] = self.unmerge(np.array([a]), np.array([b]))[0]
+            self.fit_keys[slot] = key
+        return bool(self.fit_values[slot])
+
+    def merge(self, ids: np.ndarray, mids: np.ndarray | None = None) -> np.ndarray:
+        """As viterbi(), by merging the best pair of each word again and again; mids gets the place of a last merge."""
         m, n, width = ids.shape
         ends = np.tile(np.arange(1, n + 1), (m, 1))
         if n == 1:
@@ -253,6 +419,9 @@ class PieceModel:
                 break
             mid = ends[rows, at]  # the second symbol's start
             end = ends[rows, mid]
+            if mids is not None:
+                last = (at == 0) & (end == n)
+                mids[rows[last]] = mid[last]
             ends[rows, at], ends[rows, mid], cost[rows, mid] = end, 0, none
             inner = end < n
             before[rows[inner], end[inner]] = at[inner]
@@ -271,74 +440,12 @@ class PieceModel:
         length = ends[rows, mid] - at
         cost[rows, at] = np.where(length <= width, rank[rows, at, np.minimum(length, width) - 1], none)
 
-    def long_word(self, word: str) -> np.ndarray:
-        """One long word: merges from a heap, or Viterbi over its own positions."""
-        if self.model_type == UNIGRAM:
-            flat, _ = self.same_length_blocks(word)
-            return flat
-        n = len(word)
-        ids, rank = self.ids, self.rank
-        end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def push(i: int) -> None:
-            mid = end[i]
-            if i >= 0 and mid < n:
-                stop = end[mid]
-                p = ids.get(word[i:stop]) if stop - i <= self.longest else None
-                if p is not None:
-                    heapq.heappush(heap, (int(rank[p]), i, stop))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not end[i] or end[i] >= n or end[end[i]] != stop or end[i] == stop:
-                continue
-            mid = end[i]
-            end[i], end[mid] = stop, 0
-            if stop < n:
-                prev[stop] = i
-            push(i)
-            if prev[i] >= 0:
-                push(prev[i])
-        out: list[int] = []
-        i = 0
-        while i < n:
-            p = ids.get(word[i : end[i]])
-            out += [p] if p is not None else self.unknown_ids(word[i : end[i]])
-            i = end[i]
-        return np.array(out, np.int32)
-
-    def same_length_blocks(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi of one long word with a rolling window of scores (memory in proportion to its length)."""
-        n = len(word)
-        best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int64)
-        best[0] = 0
-        for end in range(1, n + 1):
-            for k in range(min(end, self.longest), 0, -1):
-                p = self.ids.get(word[end - k : end])
-                s = best[end - k] + (self.score[p] if p is not None else self.unknown_score if k == 1 else -np.inf)
-                if s > best[end]:
-                    best[end], back[end] = s, end - k
-        spans, end = [], n
-        while end:
-            spans.append((int(back[end]), end))
-            end = int(back[end])
-        out: list[int] = []
-        for lo, hi in reversed(spans):
-            p = self.ids.get(word[lo:hi])
-            if p is None and not self.byte_fallback and out and out[-1] == self.unknown:
-                continue
-            out += [p] if p is not None else self.unknown_ids(word[lo:hi])
-        return np.array(out, np.int32), np.array([len(out)])
-
     # -- texts
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin and end; words met before are kept."""
-        if len(self.places) > CACHE:
-            self.places, self.flat, self.begin = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        if self.held > CACHE_BYTES:
+            self.forget()
         words: list[str] = []
         stops = [0]
         for t in texts:
@@ -353,6 +460,7 @@ class PieceModel:
             self.places.update(zip(order, range(first, first + len(order)), strict=True))
             self.flat = np.concatenate([self.flat, flat])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+            self.held += sum(map(len, new)) + 120 * len(new) + flat.nbytes  # a string and its entry in the dictionary
         place = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
         here = dict(zip(distinct, range(len(distinct)), strict=True))  # smaller than all places, so it stays in the CPU's caches
         at = place[np.fromiter(map(here.__getitem__, words), np.int64, len(words))]
@@ -384,13 +492,6 @@ def mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def substring_hashes(piece: str) -> np.uint64:
-    h = np.zeros(1, np.uint64)
-    for c in piece:
-        h = mix(h, np.array([ord(c) + 1], np.uint64))
-    return h[0]
-
-
 def load(spark: SparkSession, path: str = MODEL) -> bytes:
     """The model file's bytes: by Spark's reader if it is a URI, else from the machine that drives."""
     if "://" in path:
@@ -402,13 +503,13 @@ def load(spark: SparkSession, path: str = MODEL) -> bytes:
 _models: dict[int, PieceModel] = {}
 
 
-def model_of(data: bytes) -> PieceModel:
-    """The model, built once per worker."""
-    key = hash(data)
-    if key not in _models:
+def shared(spark: SparkSession, path: str = MODEL):
+    """The model as a broadcast (a vocabulary and its tables, under 20 MB), built once on the driver."""
+    data = load(spark, path)
+    if hash(data) not in _models:
         _models.clear()
-        _models[key] = PieceModel(data)
-    return _models[key]
+        _models[hash(data)] = PieceModel(data)
+    return spark.sparkContext.broadcast(_models[hash(data)])
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -422,10 +523,10 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def _encode(docs: DataFrame, path: str, whole: bool) -> DataFrame:
-    data = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))  # a vocabulary, under a few MB
+    held = shared(docs.sparkSession, path)
 
     def make():
-        model = model_of(data.value)
+        model = held.value
         is_byte = np.array([k == BYTE for k in model.kinds])
 
         def step(texts):
@@ -443,6 +544,7 @@ def _encode(docs: DataFrame, path: str, whole: bool) -> DataFrame:
                 out["ids_digest"] = [None if x is None else f"{xxhash.xxh64_intdigest(x.tobytes()):016x}" for x in found]
             return out
 
+        step.done = model.forget
         return step
 
     kind = "ids array<int>" if whole else "ids_digest string"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import pieces
-from vecloom.llm.base import map_text, text_chunks
+from vecloom.llm.base import map_arrow, map_text, text_chunks
 
 MIN_WORDS, MAX_REPEAT = 50, 0.5
 SYMBOLS = "#*$%&|<>"
@@ -123,11 +123,16 @@ def judge(texts: list[str | None], model: pieces.PieceModel) -> dict[str, np.nda
 
 def measure(docs: DataFrame, path: str = pieces.MODEL) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the fertility figures of every row of docs (doc_id, text)."""
-    data = docs.sparkSession.sparkContext.broadcast(pieces.load(docs.sparkSession, path))  # a vocabulary, under a few MB
+    held = pieces.shared(docs.sparkSession, path)
 
     def make():
-        model = pieces.model_of(data.value)
-        return lambda texts: judge(texts, model)
+        model = held.value
+
+        def step(texts):
+            return judge(texts, model)
+
+        step.done = model.forget
+        return step
 
     out = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, byte_share double, entropy double, script string"
     return map_text(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long", out)
@@ -135,11 +140,14 @@ def measure(docs: DataFrame, path: str = pieces.MODEL) -> DataFrame:
 
 def keep_clean(docs: DataFrame, path: str = pieces.MODEL) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; any schema that has a string column `text`."""
-    data = docs.sparkSession.sparkContext.broadcast(pieces.load(docs.sparkSession, path))
+    held = pieces.shared(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces.model_of(data.value)
-        for part, texts in text_chunks(batches):
-            yield part.filter(pa.array(judge(texts, model)["kept"]))
-
-    return docs.mapInArrow(run, docs.schema)
+        model = held.value
+        try:
+            for part, texts in text_chunks(batches):
+                yield part.filter(pa.array(judge(texts, model)["kept"]))
+        finally:
+            model.forget()
+
+    return map_arrow(docs, run, docs.schema)
