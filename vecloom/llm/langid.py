@@ -1,12 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Model: counts of 1- to 4-grams of lower-cased letters (a word's ends count as a space), hashed into 2^16 buckets,
-for each language; the log-probability matrix (buckets x languages, under 512 KB a language) is broadcast, and a batch
-of texts is scored as a sparse product in numpy: every n-gram gathers its row, rows are summed by text.
+for each language, and the languages' shares of the labelled rows as priors; the log-probability matrix (buckets x
+languages) is broadcast, and a batch of texts is scored as a sparse product in numpy: every n-gram gathers its row, rows
+are summed by text. The score is the posterior of the most likely language.
 
 Defined results. Null text, or text without a letter: `und`, score 0. Ties: the language first in code-point order.
 Repeated rows are scored alike; null and repeated doc_ids pass through. No labelled row at all: every text is `und`.
-Extra columns are ignored. Texts are scored whole, whatever their length.
+Extra columns are ignored. Texts are scored whole, whatever their length. More than MAX_LANGS languages: an error.
 """
 
 from __future__ import annotations
@@ -18,16 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import fold, hash_below, map_text, text_chunks
+from vecloom.llm.base import fold, hash_below, map_arrow, map_text, text_chunks
 
-BITS = 16
+BITS, SMOOTHING = 16, 0.1
 ORDERS = (1, 2, 3, 4)
 #: About so many labelled texts of each language are learned from (a repeatable sample by doc_id and text).
 TRAIN_PER_LANG = 4000
-#: So many languages at most can be learned; the most frequent ones are.
-MAX_LANGS = 256
-#: n-grams after which more text no longer makes the stated score surer.
-EVIDENCE = 400
+#: The matrix takes 256 KB a language; a table with more languages raises an error.
+MAX_LANGS = 1024
 
 _letters: np.ndarray | None = None
 
@@ -72,13 +71,15 @@ def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (h >> np.uint32(32 - BITS)).astype(np.int32), doc[np.where(is_letter[at], at, at + 1)]
 
 
-def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability matrix [bucket, language] from docs (doc_id, text, lang)."""
+def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the log-probability matrix [bucket, language] and log priors from docs (doc_id, text, lang)."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages")
     names = sorted(langs)
     if not names:
-        return [], np.zeros((1 << BITS, 0))
+        return [], np.zeros((1 << BITS, 0)), np.zeros(0)
     share = F.create_map([F.lit(x) for k in names for x in (k, min(1.0, per_lang / langs[k]))])
     sample = rows.filter(F.col("lang").isin(names)).filter(hash_below(F.struct("doc_id", "text"), 11, share[F.col("lang")]))
 
@@ -93,38 +94,37 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], n
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[i, b])], ["i", "b", "n"])
 
     counts = np.zeros((1 << BITS, len(names)))
-    got = sample.mapInArrow(count, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n")).toPandas()
+    got = map_arrow(sample, count, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n")).toPandas()
     counts[got["b"].to_numpy(int), got["i"].to_numpy(int)] = got["n"].to_numpy(float)
-    return names, np.log((counts + 0.1) / (counts.sum(0) + 0.1 * (1 << BITS)))
+    share = np.array([langs[k] for k in names], float)
+    return names, np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * (1 << BITS))), np.log(share / share.sum())
 
 
-def score(texts: list[str | None], names: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The most likely language of each text, and its probability."""
-    sums, seen = np.zeros((len(texts), len(names))), np.zeros(len(texts), np.int64)
+def score(texts: list[str | None], names: list[str], columns: np.ndarray, prior: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The most likely language of each text, and its probability; columns: log probabilities [language, bucket]."""
+    sums, seen = np.tile(np.asarray(prior, np.float64), (len(texts), 1)), np.zeros(len(texts), np.int64)
+    if not names:
+        return ["und"] * len(texts), np.zeros(len(texts))
     for bucket, doc in ngrams(texts):
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         for k in range(len(names)):
-            sums[doc[first], k] += np.add.reduceat(logp[bucket, k] if logp.ndim == 2 else logp[k][bucket], first)
+            sums[doc[first], k] += np.add.reduceat(columns[k][bucket], first, dtype=np.float64)
         seen += np.bincount(doc, minlength=len(texts))
-    if not names:
-        return ["und"] * len(texts), np.zeros(len(texts))
-    sums *= np.minimum(1, EVIDENCE / np.maximum(seen, 1))[:, None]
     p = np.exp(sums - sums.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)
     return [names[b] if n else "und" for b, n in zip(best.tolist(), seen.tolist(), strict=True)], np.where(seen > 0, p.max(1), 0.0)
 
 
-def detect(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
+def detect(docs: DataFrame, names: list[str], logp: np.ndarray, prior: np.ndarray) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs (doc_id, text)."""
-    model = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(logp.astype(np.float32).T)))
+    model = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(logp.astype(np.float32).T), prior))  # MAX_LANGS x 256 KB
 
     def make():
-        known, matrix = model.value
-        columns = _Columns(matrix.astype(np.float64))
+        known, columns, first = model.value
 
         def step(texts):
-            pred, p = score(texts, known, columns)
+            pred, p = score(texts, known, columns, first)
             return {"lang_pred": pred, "score": p}
 
         return step
@@ -132,19 +132,7 @@ def detect(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long", "lang_pred string, score double")
 
 
-class _Columns:
-    """The matrix by language, each column whole in memory."""
-
-    ndim = 1
-
-    def __init__(self, rows: np.ndarray) -> None:
-        self.rows = rows
-
-    def __getitem__(self, k: int) -> np.ndarray:
-        return self.rows[k]
-
-
 def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from the rows outside fold 0."""
-    names, logp = train(docs.filter(fold(F.col("doc_id")) != 0), per_lang)
-    return detect(docs, names, logp).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    model = train(docs.filter(fold(F.col("doc_id")) != 0), per_lang)
+    return detect(docs, *model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")

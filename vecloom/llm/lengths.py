@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import text_chunks
+from vecloom.llm.base import map_arrow, materialize, text_chunks
 from vecloom.llm.pieces import load
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,9 +31,10 @@ _encodings: dict = {}
 
 
 def encoding(data: bytes, pattern: str = PATTERN):
-    """The encoder of a ranks file, built once per worker."""
+    """The encoder of a ranks file, built once per worker; one is kept."""
     key = hash((data, pattern))
     if key not in _encodings:
+        _encodings.clear()
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
@@ -58,11 +60,11 @@ def histogram(docs: DataFrame, path: str = RANKS) -> DataFrame:
     def batch_of(total: dict[int, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["n_tokens", "n_docs"])
 
-    return docs.select("text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return map_arrow(docs.select("text"), run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def curve(hist: DataFrame) -> DataFrame:
-    """n_tokens, n_docs, docs_at_least, tokens_at_least, tokens_truncated (every document cut to n_tokens), share_at_most."""
+    """n_tokens, n_docs, docs_at_least, tokens_at_least, tokens_truncated (every document cut to n_tokens), docs_at_most, share_at_most."""
     rows = hist.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / BLOCK).alias("block"), (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     up = Window.orderBy(F.col("block").desc())
@@ -79,7 +81,7 @@ def curve(hist: DataFrame) -> DataFrame:
     return full.select(
         "n_tokens", "n_docs", docs.alias("docs_at_least"), tokens.alias("tokens_at_least"),
         (F.col("all_t") - tokens + F.col("n_tokens") * docs).alias("tokens_truncated"),
-        F.round((F.col("all_d") - docs + F.col("n_docs")) / F.col("all_d"), 9).alias("share_at_most"),
+        (F.col("all_d") - docs + F.col("n_docs")).alias("docs_at_most"), ((F.col("all_d") - docs + F.col("n_docs")) / F.col("all_d")).alias("share_at_most"),
     )
 
 
@@ -89,14 +91,14 @@ def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
     return hist.agg(F.array(*cut).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
-def quantile(spark: SparkSession, full: DataFrame, q: float) -> int | None:
-    """The least length that a share of q of the documents doesn't exceed, from curve()."""
-    row = full.filter(F.col("share_at_most") >= np.round(q, 9)).agg(F.min("n_tokens")).first()
-    return row[0]
+def quantile(full: DataFrame, q: float) -> int | None:
+    """The least length that a share of q of the documents doesn't exceed, from curve(); counts are compared, not shares."""
+    n, share = full.agg(F.max("docs_at_most")).first()[0], Fraction(str(q))
+    if n is None:
+        return None
+    return full.filter(F.col("docs_at_most") >= -(-n * share.numerator // share.denominator)).agg(F.min("n_tokens")).first()[0]
 
 
 def context_curve(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """The curve of docs (text)."""
-    from vecloom.llm.base import materialize
-
     return curve(materialize(histogram(docs, path), "lengths"))
