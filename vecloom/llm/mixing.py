@@ -92,32 +92,35 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return done
 
 
-def _planned(sized: DataFrame) -> DataFrame:
-    """sized (source, size, h, ...) with source_size, target, copies."""
+def facts_of(sized: DataFrame) -> DataFrame:
+    """s, source_size, target, whole, most of every source of sized (source, size, h): one row a source."""
     sizes = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     goal = targets(sizes).withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(0).cast("long"))
     goal = materialize(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "goals")
     cuts = thresholds(sized.filter("size > 0").select("source", "size", "h"), goal.filter("budget > 0").select("source", "budget"))
-    facts = materialize(goal.join(cuts.select(F.col("source").alias("s"), "most"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("most", F.lit(-1)).alias("most")), "cuts")
-    copies = F.col("whole") + F.when((F.col("h") <= F.col("most")) & (F.col("whole") < MOST), 1).otherwise(0)
-    # one row a source: Spark broadcasts it below its own limit, and splits hot partitions beyond
-    return sized.join(facts, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
+    return materialize(goal.join(cuts.select(F.col("source").alias("s"), "most"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("most", F.lit(-1)).alias("most")), "cuts")
+
+
+def copies() -> Column:
+    """How often a row (h) of a source (whole, most) is taken."""
+    return F.col("whole") + F.when((F.col("h") <= F.col("most")) & (F.col("whole") < MOST), 1).otherwise(0)
 
 
 def plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
     sized = materialize(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), row_hash("doc_id", "text").alias("h")), "sized")
-    return _planned(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    # one row a source: Spark broadcasts it below its own limit, and splits hot partitions beyond
+    rows = sized.join(facts_of(sized), F.col("source").eqNullSafe(F.col("s")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns kept, as often as the mix takes them."""
-    names = docs.columns
-    key = materialize(docs.select("source", word_count(F.col("text")).alias("size"), row_hash("doc_id", "text").alias("h")), "sized")
-    cuts = _planned(key).groupBy("source").agg(F.min("whole").alias("__whole"), F.min("most").alias("__most")).withColumnRenamed("source", "__s")
-    rows = docs.withColumn("__h", row_hash("doc_id", "text")).join(materialize(cuts, "cuts"), F.col("source").eqNullSafe(F.col("__s")))
-    copies = F.col("__whole") + F.when((F.col("__h") <= F.col("__most")) & (F.col("__whole") < MOST), 1).otherwise(0)
-    return rows.withColumn("__copies", copies.cast("int")).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    facts = facts_of(materialize(docs.select("source", word_count(F.col("text")).alias("size"), row_hash("doc_id", "text").alias("h")), "sized"))
+    # the user's columns travel in one struct, so that no name of theirs can meet one of ours
+    rows = docs.select(row_hash("doc_id", "text").alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = rows.join(facts, F.col("row.source").eqNullSafe(F.col("s"))).withColumn("n", copies().cast("int")).filter("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 #: DuckDB's words for plan() over documents.

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import map_text, materialize
+from vecloom.llm.base import map_arrow, map_text, materialize
 from vecloom.llm.components import components
 
 THRESHOLD, HOT = 3, 20_000
@@ -212,7 +212,7 @@ def _compare(rows: DataFrame, hot: int) -> DataFrame:
                 a, b = both[:, 0], both[:, 1]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, kind int")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a long, b long, kind int")
 
 
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -227,8 +227,10 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
                 row, anchor = cover.anchors(part)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row])], ["key", "f"])
 
-    distinct = prints.filter("f is not null").select("f").distinct()
-    found = materialize(_compare(distinct.mapInArrow(spread, "key int, f long"), hot), "links")
+    # copies of a fingerprint are many times its size: they are made by as many tasks as a shuffle has
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.filter("f is not null").select("f").distinct().repartition(tasks, "f")
+    found = materialize(_compare(map_arrow(distinct, spread, "key int, f long"), hot), "links")
     warm = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("f"))
     if warm.isEmpty():
         return found.filter("kind = 0").select("a", "b")
@@ -266,9 +268,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFrame:
     each = classes(docs, shingle, hot).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("d"), F.col("h").alias("g"), "n")).alias("k")).select("k.d", "k.g", "k.n")
     first = materialize(first, "kept")
-    names = docs.columns
-    rows = docs.withColumn("__h", F.xxhash64("text"))
-    match = rows["doc_id"].cast("long").eqNullSafe(first["d"]) & (rows["__h"] == first["g"])
-    once = rows.join(first.filter("n = 1"), match, "left_semi").select(*names)
-    more = rows.join(first.filter("n > 1"), match, "left_semi").dropDuplicates(["doc_id", "__h"]).select(*names)
-    return once if first.filter("n > 1").isEmpty() else once.union(more)
+    # the user's columns travel in one struct, so that no name of theirs can meet one of ours
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("i"), F.xxhash64("row.text").alias("h"))
+    match = rows["i"].eqNullSafe(first["d"]) & (rows["h"] == first["g"])
+    once = rows.join(first.filter("n = 1"), match, "left_semi")
+    more = rows.join(first.filter("n > 1"), match, "left_semi").dropDuplicates(["i", "h"])
+    return (once if first.filter("n > 1").isEmpty() else once.union(more)).select("row.*")
