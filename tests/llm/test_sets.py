@@ -10,12 +10,12 @@ from vecloom.llm import bitslice, licenses, mixing, pieces, quality, simhash
 from vecloom.llm.components import components
 
 rng = np.random.default_rng(11)
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, f long, target string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, f long, target string, __h string, n string, s string, row string, whole string, most string, i string, root string, k string, d string"
 
 
 def frame(spark, rows):
     """rows: (doc_id, text, source)."""
-    return spark.createDataFrame([(i, t, None, s, 0, 1, 2, 3, "clash") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, None, s, 0, 1, 2, 3, *["clash"] * 11) for i, t, s in rows], DOCS)
 
 
 def words(n):
@@ -122,7 +122,7 @@ def test_near_duplicates(spark):
     first = {k: min((x for x in v if x is not None), default=None) for k, v in least.items()}
     assert sorted(map(str, ((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got))) == sorted(map(str, ((i, f"{naive_print(t):016x}", first[want[naive_print(t)]]) for i, t, _ in rows)))
     kept = simhash.keep_one(docs.union(docs))
-    assert kept.columns == docs.columns and kept.count() == len(first)
+    assert kept.schema == docs.schema and kept.count() == len(first) and kept.filter("__h = 'clash' and i = 'clash' and h = 2").count() == len(first)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 == simhash.keep_one(docs.limit(0)).count()
 
 
@@ -147,7 +147,7 @@ def test_mixing_agrees_with_sql(spark, tmp_path):
     sums = plan.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()
     assert all(abs(r["taken"] - r["target"]) <= max(r["most"], 1) for r in sums) and plan.filter("taken > 2 * size").count() == 0
     copies = mixing.mixed(docs)
-    assert copies.columns == docs.columns
+    assert copies.schema == docs.schema and copies.filter("__h != 'clash' or n != 'clash' or h != 2 or s != 'clash' or most != 'clash'").count() == 0
     assert sum(len((r["text"] or "").split()) for r in copies.collect()) == plan.agg(F.sum("taken")).first()[0]
     assert mixing.plan(docs.limit(0)).count() == 0 == mixing.mixed(docs.limit(0)).count()
 
@@ -205,3 +205,32 @@ def test_pipeline_stages(spark, tmp_path):
     text = {r["doc_id"]: r["text"] for r in seen["mixing"]}
     assert len(seen["sentencepiece"]) == len(seen["mixing"]) and all(model.decode(np.array(r["ids"])) == model.plain(text[r["doc_id"]]) for r in seen["sentencepiece"])
     assert sorted(r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()) == sorted(r["doc_id"] for r in seen["sentencepiece"])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_files_go_and_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from vecloom.llm import base
+    from vecloom.sources import shared
+
+    with base.scratch(spark) as paths:
+        kept = base.materialize(spark.range(3).toDF("x"), "kept")
+        paths.pop()
+        gone = base.materialize(spark.range(3).toDF("x"), "gone")
+        assert gone.count() == 3
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="gone|FAILED_READ_FILE|not exist"):
+        gone.count()
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("Context", (), {"master": "yarn", "getConf": staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k: None)}))})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster)

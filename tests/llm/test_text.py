@@ -42,34 +42,153 @@ def test_language_id(spark):
     assert unlabelled["lang_pred"] == "und" and unlabelled["score"] == 0
 
 
-def test_batches_score_as_single_texts_do():
-    texts = [shuffled(EN, n) for n in (1, 5, 40)] + [shuffled(DE, 7), "", None, "a", "ß İ x"]
-    logp = np.log(rng.random((1 << langid.BITS, 2)) + 0.01)
-    names, p = langid.score(texts, ["a", "b"], logp)
-    for t, n, x in zip(texts, names, p, strict=True):
-        one = langid.score([t], ["a", "b"], logp)
-        assert one[0][0] == n and one[1][0] == pytest.approx(x)
+def naive_grams(t):
+    """Buckets of all n-grams of a text, by a loop over its words."""
+    out, word = [], ""
+    for c in (t or "").lower() + " ":
+        if c.isalpha():
+            word += c
+            continue
+        if word:
+            out += list(word)
+            padded = f" {word} "
+            for n in (2, 3, 4):
+                out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
+        word = ""
+
+    def bucket(g):
+        h = len(g) * 0x85EBCA6B & 0xFFFFFFFF
+        for c in g:
+            h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+            h ^= h >> 15
+        return h >> 32 - langid.BITS
+
+    return [bucket(g) for g in out if g.strip()]
+
+
+def test_language_scores_equal_a_plain_loop(spark):
+    rows = [(i, shuffled(EN if i % 3 else DE, 1 + i % 9), "en" if i % 3 else "de") for i in range(40)] + [(50, "aé b", "fr"), (51, None, "fr"), (52, "x-y z1w", None)]
+    names, counts, docs = ["de", "en", "fr"], {}, Counter()
+    learn = [(t, k) for i, t, k in rows if k and t is not None and zlib.crc32(str(i).encode()) % 5]
+    for t, k in learn:
+        docs[k] += 1
+        for g in naive_grams(t):
+            counts.setdefault(k, Counter())[g] += 1
+    names = sorted(docs)
+    got = {r["doc_id"]: r for r in langid.identify(frame(spark, rows)).collect()}
+    for i, t, _ in rows:
+        grams = naive_grams(t)
+        logs = [np.log(docs[k] / len(learn)) + sum(np.log((counts[k][g] + langid.SMOOTHING) / (counts[k].total() + langid.SMOOTHING * (1 << langid.BITS))) for g in grams) for k in names]
+        p = np.exp(np.array(logs) - max(logs))
+        want = names[int(p.argmax())] if grams else "und"
+        assert got[i]["lang_pred"] == want and got[i]["score"] == pytest.approx(p.max() / p.sum() if grams else 0.0, abs=1e-4)
+
+
+def test_equal_languages_tie_in_order_of_code_points(spark):
+    rows = [(i, t, k) for i, (t, k) in enumerate([(EN, "b"), (EN, "a"), (EN, "b"), (EN, "a")] * 3)]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    n = min(sum(k == "a" for *_, k in kept), sum(k == "b" for *_, k in kept))
+    some = [r for k in "ab" for r in [x for x in kept if x[2] == k][:n]]
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(frame(spark, some)).collect()} == {("a", 0.5)}
+
+
+def test_every_language_is_learned(spark):
+    alphabet = [chr(0x4E00 + i) * 3 for i in range(300)]  # past the bound of an earlier version
+    rows = [(i * 10 + j, w, f"l{i:03d}") for i, w in enumerate(alphabet) for j in range(3)]
+    got = langid.identify(frame(spark, rows)).collect()
+    learned = {f"l{i:03d}" for i in range(300) if any(zlib.crc32(str(i * 10 + j).encode()) % 5 for j in range(3))}
+    assert {r["lang_pred"] for r in got} >= learned - {"und"} and len(learned) > 256
 
 
 # -- op2
 
 def test_block_max_search_equals_a_full_scan():
-    terms = [f"t{i}" for i in range(30)]
-    idf = 1 + rng.random(30)
-    vectors = {tuple(sorted((int(t), int(rng.integers(1, 5))) for t in rng.choice(30, rng.integers(1, 6), replace=False))): [1.0, 2.0] for _ in range(600)}
-    index = toxicity.Index(terms, idf, vectors, (0.0, 1.0), 0.3)
-    order = sorted(vectors)
-    dense = np.zeros((len(order), 30))
-    for i, v in enumerate(order):
-        ids, w = index.weights(dict(v))
-        dense[i, ids] = w
+    terms, weight = np.arange(30), 1 + rng.random(30)
+    vectors = {tuple(sorted(rng.choice(30, rng.integers(1, 6), replace=False).tolist())) for _ in range(600)}
+    rows = [(list(v), rng.integers(1, 5, len(v)).tolist(), 1.0, 2.0, i) for i, v in enumerate(sorted(vectors))]
+    index = toxicity.Index(terms, weight, rows, (0.0, 1.0), 0.3)
+    dense = np.zeros((len(rows), 30))
+    for i, (ids, n, *_) in enumerate(rows):
+        dense[i, ids] = index.unit(np.array(ids), np.array(n), np.zeros(len(ids), int))
     for _ in range(40):
-        q = {int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 5), replace=False)}
-        ids, w = index.weights(q)
-        sims = np.round(dense[:, ids] @ w, 12)
+        ids = np.sort(rng.choice(30, rng.integers(1, 5), replace=False))
+        q = index.unit(ids, rng.integers(1, 4, len(ids)), np.zeros(len(ids), int))
+        sims = np.round(dense[:, ids] @ q, 12)
         want = [(i, sims[i]) for i in np.lexsort((np.arange(len(sims)), -sims))[: toxicity.K] if sims[i] > 0]
-        got = index.nearest(q)
-        assert [c for c, _ in got] == pytest.approx([s for _, s in want], abs=1e-9)
+        cos, who = index.nearest(ids, q)
+        assert cos.tolist() == pytest.approx([s for _, s in want], abs=1e-9) and set(sims[who]) == {s for _, s in want}
+
+
+def naive_toxicity(rows, labels):
+    """(score, neighbours' ids and cosines) of every text, by comparing it with all labelled ones."""
+    from math import log, sqrt
+
+    bag = lambda t: Counter(toxicity.WORD.findall((t or "").lower()))
+    learn = [(i, bag(t), labels[i], toxicity.family(toxicity.WORD.findall(t.lower()))) for i, t in rows if t is not None and labels.get(i) is not None and zlib.crc32(str(i).encode()) % 5]
+    named = [y for i, y in labels.items() if y is not None and zlib.crc32(str(i).encode()) % 5]
+    base = sum(named) / len(named)
+    fams = [{f for _, _, y, f in learn if y == k} for k in (0, 1)]
+    has = [{}, {}]
+    for _, b, y, f in learn:
+        for w in b:
+            has[y].setdefault(w, set()).add(f)
+    weight, z = {}, toxicity.Z
+    for w in has[0].keys() | has[1].keys():
+        a, b = len(has[1].get(w, ())), len(has[0].get(w, ()))
+        n, p = a + b, a * base / len(fams[1])
+        p = p / (p + b * (1 - base) / len(fams[0]))
+        mid, half = p + z * z / (2 * n), z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+        odds = [log(x / (1 - x)) for x in (max((mid - half) / (1 + z * z / n), 1e-9), min((mid + half) / (1 + z * z / n), 1 - 1e-9), base)]
+        x = max(0.0, odds[0] - odds[2], odds[2] - odds[1]) * (1 + log((1 + len(fams[0]) + len(fams[1])) / (1 + n)))
+        if x > 1e-9:
+            weight[w] = x
+
+    def vector(b):
+        v = {w: (1 + log(n)) * weight[w] for w, n in b.items() if w in weight}
+        norm = sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    protos, bare = {}, [0.0, 0.0]
+    for i, b, y, _ in learn:
+        key = tuple(sorted((w, n) for w, n in b.items() if w in weight))
+        cell = protos.setdefault(key, [0.0, 0.0, []]) if key else bare
+        cell[y] += 1
+        if key:
+            cell[2].append((i, y))
+    out = {}
+    for i, t in rows:
+        q = vector(bag(t))
+        if not q:
+            out[i] = ((bare[1] + toxicity.PRIOR * base) / (sum(bare) + toxicity.PRIOR), [])
+            continue
+        sims = sorted(((round(sum(x * q.get(w, 0) for w, x in vector(dict(k)).items()), 9), k) for k in protos), key=lambda x: -x[0])
+        sims = [x for x in sims if x[0] > 0]
+        edge = sims[toxicity.K - 1][0] if len(sims) > toxicity.K else 0
+        tied = [x for x in sims if x[0] == edge]
+        best = sims[: toxicity.K]
+        good, bad = (sum(c * c * protos[k][y] for c, k in best) for y in (1, 0))
+        exact = len(sims) <= toxicity.K or len({tuple(protos[k][:2]) for _, k in tied}) == 1  # ties at the edge that vote alike
+        out[i] = ((good + toxicity.PRIOR * base) / (good + bad + toxicity.PRIOR), [c for c, _ in best]) if exact else None
+    return out
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    bad = ["vile", "scum", "rotten", "filth"]
+    rows = [(i, shuffled(EN + " " + DE, int(rng.integers(5, 40))) + "".join(" " + rng.choice(bad) for _ in range(int(rng.integers(1, 5)) if i % 4 == 0 else 0))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 40)] + [(2000, None), (2001, ""), (2002, "w" * 300 + " vile"), (2003, "vile vile vile scum")]
+    labels = {i: int(i % 4 == 0) for i in range(250)} | {1000 + i: int(i % 4 == 0) for i in range(40)} | {251: None, 5000: 1}
+    want = naive_toxicity(rows, labels)
+    docs = frame(spark, [(i, t, None) for i, t in rows])
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, spark.createDataFrame([(i, 0, y) for i, y in labels.items()], "doc_id long, quality int, toxic int")).collect()}
+    checked = 0
+    for i, w in want.items():
+        if w is not None:
+            checked += 1
+            assert got[i]["score"] == pytest.approx(w[0], abs=1e-6) and got[i]["n_neighbours"] == len(w[1]), i
+            assert got[i]["nearest_cosine"] == pytest.approx(max(w[1], default=0), abs=1e-6)
+    assert checked > 200
+    for r in got.values():
+        assert all(zlib.crc32(str(n).encode()) % 5 and y == labels[n] for n, y in zip(r["neighbour_ids"], r["neighbour_labels"], strict=True))
 
 
 def test_toxicity(spark):
@@ -122,6 +241,33 @@ def test_quality_rules(spark):
     assert quality.measure(docs.limit(0)).count() == 0 == quality.keep_clean(docs.limit(0)).count()
 
 
+def test_fertility_and_verdict_match_a_loop():
+    import unicodedata
+
+    with open(pieces.MODEL, "rb") as f:
+        model = pieces.PieceModel(f.read())
+    texts = [shuffled(EN, 120), shuffled(EN, 60), "привет мир " * 30 + " ".join(f"слово{i}" for i in range(40)), "東京 大学 " * 60, "καλημέρα κόσμε " * 20, " ".join("".join(rng.choice(list("qxzjkvwp"), 9)) for _ in range(80)), "", None, "123 456 " * 60, "😀 🚀 ✨ x " * 40, "mixed текст " * 40, "ab бв " * 40, " ".join(f"word{i}" for i in range(70)) + "\n\n"]
+    got = quality.judge(texts, model)
+    for i, t in enumerate(texts):
+        ids = model.encode([t or ""])[0].tolist()
+        words, n = naive_base(t), Counter(ids)
+        chars, total = words[1] / max(len(ids), 1), len(ids)
+        odd = sum(c for k, c in n.items() if model.kinds[k] == pieces.BYTE and model.pieces[k] not in [f"<0x{b:02X}>" for b in range(9, 14)]) / max(total, 1)
+        entropy = -sum(c / total * np.log2(c / total) for c in n.values()) if total else 0.0
+        by = Counter()
+        for c in t or "":
+            name = unicodedata.name(c, "").split(" ")[0]
+            kind = {"LATIN": "Latin", "CYRILLIC": "Cyrillic", "GREEK": "Greek", "CJK": "Han"}.get(name)
+            if kind and c.isalpha():
+                by[kind] += 1
+        script = max(by, key=lambda k: (by[k], -quality.SCRIPTS.index(k))) if by else "none"
+        assert (got["script"][i], got["chars_per_token"][i], got["byte_share"][i], got["entropy"][i]) == (script, pytest.approx(chars), pytest.approx(odd), pytest.approx(entropy, abs=1e-9)), t
+        low, high, most, least = quality.BANDS.get(script, quality.OTHER)
+        fails = words[0] < 50 or 100 * words[4] > 50 * words[0]
+        assert got["base_failed"][i] == fails
+        assert got["kept"][i] == (not fails and low <= chars <= high and odd <= most and entropy >= least * np.log2(min(max(total, 2), 512))), t
+
+
 # -- op10
 
 TEXTS = ["", " ", "Hello world", "  two  spaces ", "tabs\tand\nlines\r\n", "Ünïcödé straße 東京 😀  x", "x" * 3000, "a▁b", EN, DE, "1234567890 " * 50, "é \x00 z", "▁▁"]
@@ -138,6 +284,21 @@ def test_pieces_equal_the_library():
         assert model.decode(ids) == model.plain(t)
 
 
+def test_path_merge_loop_and_library_agree():
+    spm = pytest.importorskip("sentencepiece")
+    with open(pieces.MODEL, "rb") as f:
+        model, theirs = pieces.PieceModel(f.read()), spm.SentencePieceProcessor(model_file=pieces.MODEL)
+    words = [META + "".join(rng.choice(list(c), n)) for META in ("▁", "") for c in ("ab", "the ing".replace(" ", ""), "abcdefghijklmnopqrstuvwxyz", "東京大学的一是", "xyz0189=/+") for n in (1, 2, 5, 11, 29) for _ in range(20)]
+    for n in {len(w) for w in words}:
+        same = [w for w in words if len(w) == n]
+        table = model.table(np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(len(same), n))
+        assert (model.viterbi(table) == model.merge(table)).all()
+    long = ["x" * 700, "ab" * 200, "的一是在" * 200, "".join(rng.choice(list("abcdefghij0123456789+/"), 2000)), "=-" * 100, "日x" * 99]  # over LONG characters
+    for t, ids in zip(long, model.encode(long), strict=True):
+        assert ids.tolist() == theirs.encode(t), t[:40]
+    assert all(model.reachable[i] for i in model.ids.values())
+
+
 def proto(number, value):
     if isinstance(value, float):
         return bytes([number << 3 | 5]) + struct.pack("<f", value)
@@ -189,9 +350,12 @@ def test_token_counts(spark):
         assert r["share_at_most"] == pytest.approx(sum(x <= k for x in n) / len(n), abs=1e-8)
     cut = {r["context_limit"]: (r["tokens"], r["docs_cut"]) for r in lengths.truncated_totals(hist, [0, 10, 100_000]).collect()}
     assert cut == {k: (sum(min(x, k) for x in n), sum(x > k for x in n)) for k in (0, 10, 100_000)}
-    assert lengths.quantile(spark, full, 0.5) == sorted(n)[(len(n) + 1) // 2 - 1]
+    for q in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0):
+        assert lengths.quantile(full, q) == sorted(n)[max(0, -(-int(q * 100) * len(n) // 100) - 1)]
+    huge = spark.createDataFrame([(1, 10**12), (2, 1), (3, 10**12 + 1)], "n_tokens long, n_docs long")  # shares that agree to nine digits
+    assert lengths.quantile(lengths.curve(huge), 0.5) == 2
     empty = lengths.histogram(docs.limit(0))
-    assert lengths.curve(empty).count() == 0 and lengths.truncated_totals(empty, [5]).first()["tokens"] == 0 and lengths.quantile(spark, lengths.curve(empty), 0.5) is None
+    assert lengths.curve(empty).count() == 0 and lengths.truncated_totals(empty, [5]).first()["tokens"] == 0 and lengths.quantile(lengths.curve(empty), 0.5) is None
 
 
 # -- op8
