@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame; run()
 writes each stage's result as Parquet in the shared folder and reads it back for the next one, so a lost executor
-costs the tasks of one stage at most.
+costs the tasks of one stage at most. What a stage wrote on its way is deleted once its result stands, and a stage's
+result once the next one stands.
+
+Defined results, stage by stage. Null and empty texts have no words and go with the quality rules. Repeated rows are
+judged alike, and near_dedup keeps one of them. Ties: near_dedup keeps the smallest doc_id of a group (null ids last),
+and of equal ids the text with the smallest hash; mixing takes rows of one source, id and text together. Null sources
+are a source. Extra columns pass through all stages but the last, whatever their names. Empty tables give an empty
+result with the stage's columns.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.llm import mixing, pieces, quality, simhash, toxicity
-from vecloom.llm.base import materialize, read
+from vecloom.llm.base import delete, materialize, read, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +60,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as paths:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            after = paths.pop()  # the stage's own result stays until the next one stands
+        if before:
+            delete(spark, before)
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)
