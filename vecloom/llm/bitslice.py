@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.base import materialize
+from vecloom.llm.base import map_arrow, materialize
 
 SCALE, K, EVERY = 256, 5, 50
 BLOCK, TILE = 4096, 64
@@ -157,7 +157,7 @@ def index(vectors: DataFrame, column: str = "embedding", key: str = "vec_id") ->
                 planes = slices(x, bits)
                 yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([planes.tobytes()], pa.binary()), pa.array([bits], pa.int32()), pa.array([planes.shape[2]], pa.int32())], ["block", "ids", "planes", "bits", "words"])
 
-    return usable(vectors, column, key).mapInArrow(pack, "block long, ids binary, planes binary, bits int, words int")
+    return map_arrow(usable(vectors, column, key), pack, "block long, ids binary, planes binary, bits int, words int")
 
 
 def query_groups(vectors: DataFrame, every: int, column: str = "embedding", key: str = "vec_id", group_bytes: int = QUERY_BYTES) -> tuple[DataFrame, int]:
