@@ -7,6 +7,7 @@ from vecloom.operators.ivf import BEHIND, FRESH, UNKNOWN
 from vecloom.plans import control as K
 from vecloom.plans.runner import Engine
 from vecloom.plans.spec import Spec
+from vecloom.sources.catalog import Catalog
 from vecloom.sources.embedders import Batched, external, gaussian, resolve
 from vecloom.streaming.micro import derive_stream
 
@@ -17,6 +18,8 @@ SCHEMA = "id string, name string, description string"
 class Counting:
     """An embedder that counts texts on the driver."""
 
+    model = None
+
     def __init__(self):
         self.inner, self.asked = gaussian(8), 0
 
@@ -58,7 +61,7 @@ def test_cost_follows_novel_content(engine):
     put(engine, *[(f"d{i}", "n", f"text {i % 50}") for i in range(300)])
     third = engine.run_one(id_)["counters"]
     assert third.inference_calls == 0 and third.cache_hits == 300 and third.inference_avoided == 1.0
-    assert engine.run_one(id_)["mode"] == "current" and engine.embedder.asked == 100
+    assert engine.run_one(id_)["mode"] == "current" and engine.embedders.asked == 100
     assert len(published(engine)) == 1100
     assert engine.control.metrics()["src", SPEC.config_id]["rows"] == 1100
     best = engine.search(SPEC, "n text 7", 3).collect()
@@ -98,7 +101,7 @@ def test_one_pass_equals_five(engine, spark, tmp_path):
         if lo:
             put(other, *rows[lo : lo + 10])
         other.run_one(id_)
-    assert published(engine) == published(other) and engine.embedder.asked == other.embedder.asked == 17
+    assert published(engine) == published(other) and engine.embedders.asked == other.embedders.asked == 17
 
 
 def test_fewer_chunks_leave_tombstones(engine):
@@ -266,3 +269,77 @@ def test_embedders(spark):
     assert got["h1"]["embedding"] == g.embed_query("a") != g.embed_query("b") and got["h1"]["error"] is None
     short = Batched(lambda texts: [[1.0]], batch=2, attempts=1).embed(rows.coalesce(1)).collect()
     assert all(r["embedding"] is None and "1 vectors for 2 texts" in r["error"] for r in short)
+
+
+# -- units of work, leases, schedules
+
+def test_backfill_in_units_equals_one_unit(spark, catalog, tmp_path):
+    from vecloom.operators import changes
+
+    rows = spark.range(60).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("description"))
+    spec = Spec("docs", ("id",), ("description",), "m")
+    out = []
+    for i, size in enumerate((1, 1 << 40)):
+        engine = Engine(Catalog(spark, f"file://{tmp_path}/units{i}"), Counting(), unit_bytes=size)
+        table = engine.catalog.load_or_create("docs", rows.schema)
+        table.append(rows.repartition(4))
+        units = changes.backfill_work(table, 1, unit_bytes=size)
+        assert len(units) == (4 if size == 1 else 1) and len({u.name for u in units}) == len(units)
+        id_ = engine.control.admit(spec).id
+        got = engine.run_one(id_)
+        assert engine.control.queue_depth() == {"DONE": len(units)} and got["counters"].rows == 60
+        out.append(sorted(tuple(r) for r in engine.publisher.read(spec).select("source_row_id", "content_hash").collect()))
+    assert out[0] == out[1]
+
+
+def test_a_unit_with_another_owner_is_not_published_over(spark, catalog):
+    engine = Engine(catalog, Counting())
+    rows = spark.createDataFrame([("1", "a")], "id string, description string")
+    table = catalog.load_or_create("docs", rows.schema)
+    table.append(rows)
+    spec = Spec("docs", ("id",), ("description",), "m")
+    id_ = engine.control.admit(spec).id
+    from vecloom.operators import changes
+
+    unit = changes.backfill_work(table, 1)[0]
+    engine.control.enqueue(id_, [(unit.name, unit.snapshot_id, unit.seq, unit.rows)], "BACKFILL")
+    engine.control.lease("somebody", 1, 300, id_)
+    with pytest.raises(RuntimeError, match="another owner"):
+        engine.run_one(id_)
+    assert engine.publisher.current(spec) is None
+
+
+def test_leases_are_renewed_while_work_goes_on(catalog):
+    import time
+
+    c = K.Control(catalog, ":memory:")
+    c.enqueue("m", [("p", 1, 1, 1)])
+    unit = c.lease("a", 1, 1)[0]["dedup"]
+    with c.holding(unit, "a", 1):
+        time.sleep(2.5)
+        assert c.reclaim() == 0
+    time.sleep(1.5)
+    assert c.reclaim() == 1 and not c.renew(unit, "a")
+
+
+def test_control_state_outlives_its_process(spark, catalog):
+    rows = spark.createDataFrame([("1", "a")], "id string, description string")
+    catalog.load_or_create("docs", rows.schema).append(rows)
+    id_ = K.Control(catalog).admit(Spec("docs", ("id",), ("description",), "m")).id
+    assert K.Control(catalog).get(id_)["state"] == "VALIDATED"
+    with pytest.raises(ValueError, match="name a path"):
+        K.Control(type("Far", (), {"root": "hdfs://host/x"})())
+
+
+def test_schedule_runs_until_it_is_stopped(spark, tmp_path):
+    import time
+
+    from vecloom.streaming.micro import schedule
+
+    ran = []
+    q = schedule(spark, 1, lambda: ran.append(1), f"file://{tmp_path}/ticks")
+    until = time.time() + 60
+    while len(ran) < 2 and time.time() < until:
+        time.sleep(0.2)
+    q.stop()
+    assert len(ran) >= 2

@@ -1,24 +1,19 @@
 import pytest
 from conftest import DATA, same_rows
 
-from vecloom import registry
+from vecloom import lifecycle, registry
 
 SF = str(DATA / "sf0.001")
-SLOW = {"derive_publish", "derive_search", "index_lifecycle", "kmeans_fit"}
+QUERIES, ORACLES = registry.QUERIES | lifecycle.QUERIES, registry.ORACLES | lifecycle.ORACLES
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
-def test_query_matches_sql(spark, duck, name):
-    got = registry.QUERIES[name](spark, SF).toArrow()
-    same_rows(got, duck.sql(registry.ORACLES[name]).to_arrow_table())
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES) and not set(registry.QUERIES) & set(lifecycle.QUERIES)
 
 
-def test_life_cycles(spark, duck):
-    same_rows(registry.derive_search(spark, SF).toArrow(), duck.sql(registry.ORACLES["derive_search"]).to_arrow_table())
-    steps = registry.index_lifecycle(spark, SF).orderBy("step").collect()
-    assert [r["action"] for r in steps] == ["refitted", "reused", "extended", "refitted"]
-    n = registry.kmeans_fit(spark, SF).agg({"n": "sum"}).first()[0]
-    assert n == duck.execute("select count(*) from embeddings").fetchone()[0]
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_sql(spark, duck, name):
+    same_rows(QUERIES[name](spark, SF).toArrow(), duck.sql(ORACLES[name]).to_arrow_table())
 
 
 def test_entry_point_works_without_the_corpus_operators(spark, duck, monkeypatch):
@@ -27,7 +22,7 @@ def test_entry_point_works_without_the_corpus_operators(spark, duck, monkeypatch
 
     import __spark_entry__ as entry
 
-    assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     for name in [m for m in sys.modules if m.startswith("vecloom.llm") or m == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
 
@@ -39,5 +34,5 @@ def test_entry_point_works_without_the_corpus_operators(spark, duck, monkeypatch
     monkeypatch.setattr(sys, "meta_path", [Without(), *sys.meta_path])
     monkeypatch.delattr(sys.modules["vecloom"], "llm", raising=False)
     bare = importlib.reload(entry)
-    assert set(bare.queries()) == set(registry.QUERIES) and set(bare.oracle_sql()) == set(registry.ORACLES)
+    assert set(bare.queries()) == set(QUERIES) and set(bare.oracle_sql()) == set(ORACLES)
     assert bare.entry(spark).count() == 10

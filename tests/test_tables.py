@@ -183,3 +183,27 @@ def test_present_keys(spark, table):
     table.append(rows(spark, ("a", "x", 1), ("a", "y", 2), ("b", "x", 3)))
     spec = Spec("db.t", ("id",), ("part",), "m")
     assert sorted(r[0] for r in changes.present_keys(table, spec, 1).collect()) == ["a", "b"]
+
+
+def test_many_commits_are_one_read(spark, catalog):
+    from vecloom.operators import changes
+
+    rows = spark.range(300).withColumn("k", F.col("id") % 3)
+    table = catalog.load_or_create("many", rows.schema, ("k",))
+    files = table.stage(rows.repartition(100, "id"))
+    for f in files:
+        table.commit("append", [f])
+    got = changes.read_work(table, changes.incremental_work(table, 0, len(files)), ["id"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0 and got.count() == 300 and got.select("__seq").distinct().count() == len(files)
+    by = {c.seq: c.added[0].rows for c in table.commits()}
+    assert {r["__seq"]: r["count"] for r in got.groupBy("__seq").count().collect()} == by
+
+
+def test_a_layout_change_never_leaves_a_table_without_a_description(spark, catalog):
+    rows = spark.range(4).withColumn("k", F.col("id") % 2)
+    table = catalog.load_or_create("t", rows.schema)
+    other = catalog.table("t")
+    table.evolve_spec(["k"])
+    other.evolve_spec([])  # by a writer that has not seen the first change
+    assert catalog.table("t").specs == [[], ["k"], []] and table.store.exists("_log/table.json")

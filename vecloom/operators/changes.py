@@ -8,10 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.functions.identity import row_id
+from vecloom.functions.identity import hex_digest, row_id
 from vecloom.plans.spec import Spec
 from vecloom.sources.versioned import APPEND, REPLACE, Commit, DataFile, SnapshotGone, VersionedTable
 
+#: Bytes of data files in a unit of work: large enough for a cluster to be busy, small enough to be done again.
+UNIT_BYTES = 64 << 30
 SAFE, RECONCILE, REANCHOR = "INCREMENTAL_SAFE", "RECONCILE_REQUIRED", "REANCHOR_REQUIRED"
 
 
@@ -38,6 +40,11 @@ class Work:
     def rows(self) -> int:
         return sum(f.rows for f in self.files)
 
+    @property
+    def name(self) -> str:
+        """What the queue knows the unit by: its files."""
+        return hex_digest(*sorted(f.path for f in self.files))
+
 
 def assess(table: VersionedTable, start: int, end: int) -> Assessment:
     """Whether the commits in (start, end] can be read as appends alone."""
@@ -63,18 +70,31 @@ def affected_partitions(table: VersionedTable, commits: Iterable[Commit]) -> lis
     return [found[k] for k in sorted(found, key=str)]
 
 
-def backfill_work(table: VersionedTable, anchor: int, partitions: list[dict[str, str | None]] | None = None) -> list[Work]:
-    """All files of a version, or those of some partitions, stamped with that version."""
+def packed(files: Iterable[DataFile], unit_bytes: int) -> list[list[DataFile]]:
+    """Files in groups of about unit_bytes, one file at least, in order of path."""
+    out: list[list[DataFile]] = []
+    held = 0
+    for f in sorted(files, key=lambda f: f.path):
+        if not out or held + f.bytes > unit_bytes:
+            out.append([])
+            held = 0
+        out[-1].append(f)
+        held += f.bytes
+    return out
+
+
+def backfill_work(table: VersionedTable, anchor: int, partitions: list[dict[str, str | None]] | None = None, unit_bytes: int = UNIT_BYTES) -> list[Work]:
+    """All files of a version, or those of some partitions, in units, stamped with that version."""
     commit = next((c for c in table.commits() if c.seq == anchor), None)
     if commit is None:
         raise SnapshotGone(f"version {anchor} of {table.name} is gone")
     keep = {tuple(sorted(p.items())) for p in partitions or []}
     files = [f for f in table.live_files(anchor) if not keep or f.scope() in keep]
-    return [Work(files, commit.snapshot_id, commit.seq, commit.ts_ms, True)] if files else []
+    return [Work(part, commit.snapshot_id, commit.seq, commit.ts_ms, True) for part in packed(files, unit_bytes)]
 
 
-def incremental_work(table: VersionedTable, start: int, end: int) -> list[Work]:
-    """Files appended in (start, end], one unit for each commit; refuses a range that isn't appends alone."""
+def incremental_work(table: VersionedTable, start: int, end: int, unit_bytes: int = UNIT_BYTES) -> list[Work]:
+    """Files appended in (start, end], in units of one commit each; refuses a range that isn't appends alone."""
     if start == end:
         return []
     found = assess(table, start, end)
@@ -82,7 +102,7 @@ def incremental_work(table: VersionedTable, start: int, end: int) -> list[Work]:
         raise SnapshotGone(found.reason)
     if found.verdict != SAFE:
         raise ValueError(f"not an append-only range: {found.reason}")
-    return [Work(c.added, c.snapshot_id, c.seq, c.ts_ms) for c in table.commits() if start < c.seq <= end and c.operation == APPEND and c.added]
+    return [Work(part, c.snapshot_id, c.seq, c.ts_ms) for c in table.commits() if start < c.seq <= end and c.operation == APPEND for part in packed(c.added, unit_bytes)]
 
 
 def read_work(table: VersionedTable, work: list[Work], columns: Iterable[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from vecloom.functions.identity import canonical_text, content_hash, hash_prefix
 from vecloom.functions.vectors import normalized
 from vecloom.operators.content_map import is_invalid, live_ordinals
 from vecloom.plans.spec import Spec
-from vecloom.sources.embedders import Embedder
+from vecloom.sources.embedders import Embedder, embedder_for
 from vecloom.sources.schemas import LAYOUT
 from vecloom.sources.catalog import Catalog
 from vecloom.sources.shared import shared_dir
@@ -129,8 +130,9 @@ class Deriver:
     the next run finds them as known content. Intermediate results are written once to the shared folder.
     """
 
-    def __init__(self, catalog: Catalog, embedder: Embedder) -> None:
-        self.catalog, self.embedder, self.spark = catalog, embedder, catalog.spark
+    def __init__(self, catalog: Catalog, embedders: Embedder | Mapping[str, Embedder]) -> None:
+        """embedders: one, or one by model name."""
+        self.catalog, self.embedders, self.spark = catalog, embedders, catalog.spark
         self.store = catalog.load_or_create("embedding_store", *LAYOUT["embedding_store"])
         self.map = catalog.load_or_create("content_map", *LAYOUT["content_map"])
 
@@ -158,7 +160,7 @@ class Deriver:
         good, kept_plan, n_held = chunks, plan, 0
         if n_novel:  # texts are read again for novel content alone, and never written but with their vectors
             texts = distinct_content(exploded(source).join(novel, "content_hash", "left_semi"))
-            files = self.store.stage(store_rows(self.embedder.embed(texts), spec))
+            files = self.store.stage(store_rows(embedder_for(self.embedders, spec).embed(texts), spec))
             made = self.store.read_files(files)
             seen = made.agg(F.count("*").alias("n"), F.min("embedding_dim").alias("least"), F.max("embedding_dim").alias("most")).first()
             if seen["least"] != seen["most"]:
@@ -175,6 +177,11 @@ class Deriver:
         sums = plan.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("source_row_id").isNotNull(), F.size("chunks"))), F.lit(0)).alias("chunks"), F.count_if(F.col("source_row_id").isNull()).alias("bad")).first()
         return Counters(sums["rows"], sums["chunks"], n_distinct, sums["chunks"] - n_novel, n_novel, sums["bad"] + n_held, n_gone)
 
+    def embedded(self, spec: Spec) -> DataFrame:
+        """content_hash of all that has a vector under a spec's model and configuration; the store itself is the record."""
+        rows = self.store.read(partition={"model_version": spec.model_version})
+        return rows.filter(F.col("config_id") == spec.config_id).select("content_hash").distinct()
+
     def delete(self, rows: DataFrame, spec: Spec) -> int:
         """Tombstones for rows (source_row_id, __seq, __snapshot_id, __committed_at)."""
         return self._append(map_rows(tombstones(rows, live_ordinals(self.history(spec), rows)), spec, True), {})

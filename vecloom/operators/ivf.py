@@ -35,8 +35,8 @@ def fit(vectors: DataFrame, clusters: int, rounds: int = MAX_ROUNDS) -> tuple[np
     """Centroids of vectors (content_hash, embedding) and the rounds it took.
 
     Starts from every n/k-th vector in order of hash. A round assigns by cosine (the lowest id wins ties) and sums unit
-    vectors by cluster in double, within each task first; only k centroids ever reach the driver. Empty clusters take an input vector. Stops
-    when no assignment moves.
+    vectors by cluster in double, within each task first; only k centroids ever reach the driver. An empty cluster c takes
+    the c-th vector in order of hash. Stops when no assignment moves.
     """
     unit = vectors.select("content_hash", unit_or_null(F.col("embedding")).alias("u")).filter("u is not null")
     spark = vectors.sparkSession
@@ -58,11 +58,10 @@ def fit(vectors: DataFrame, clusters: int, rounds: int = MAX_ROUNDS) -> tuple[np
             return centroids, done
         mark = now
         by = {r["c"]: np.array(r["s"]) for r in sums}
+        empty = [c for c in range(k) if c not in by or not np.linalg.norm(by[c]) > 0]
+        again = dict(zip(empty, _at_ranks(unit, empty, n), strict=True)) if empty else {}
         for c in range(k):
-            if c in by and np.linalg.norm(by[c]) > 0:
-                centroids[c] = (by[c] / np.linalg.norm(by[c])).astype(np.float32)
-            else:
-                centroids[c] = seeds[c % len(seeds)]
+            centroids[c] = again[c] if c in again else (by[c] / np.linalg.norm(by[c])).astype(np.float32)
     return centroids, rounds
 
 
@@ -100,10 +99,23 @@ def _round(unit: DataFrame, centroids: np.ndarray) -> DataFrame:
         own = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(mark[own]), pa.array(list(s[own]), pa.list_(pa.float64()))], ["c", "n", "mark", "s"])
 
-    parts = unit.select("u", F.pmod(F.xxhash64("content_hash"), F.lit(1 << 40)).alias("mark")).mapInArrow(run, "c int, n long, mark long, s array<double>")
-    each = parts.select("c", "n", "mark", F.posexplode("s").alias("i", "x"))
-    whole = each.groupBy("c", "i").agg(F.sum("n").alias("n"), F.sum("mark").alias("mark"), F.sum("x").alias("x"))
-    return whole.groupBy("c").agg(F.max("n").alias("n"), F.max("mark").alias("mark"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for c, n, mark, x in zip(batch.column("c").to_pylist(), batch.column("n").to_pylist(), batch.column("mark").to_pylist(), batch.column("s"), strict=True):
+                x = x.values.to_numpy()
+                if c in held:
+                    held[c][0] += n
+                    held[c][1] += mark
+                    held[c][2] += x
+                else:
+                    held[c] = [n, mark, x.copy()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1] for h in held.values()], pa.int64()), pa.array([h[2] for h in held.values()], pa.list_(pa.float64()))], ["c", "n", "mark", "s"])
+
+    schema = "c int, n long, mark long, s array<double>"
+    parts = unit.select("u", F.pmod(F.xxhash64("content_hash"), F.lit(1 << 40)).alias("mark")).mapInArrow(run, schema)
+    # a row of whole vectors for each task and cluster; sums of a cluster end in one task
+    return parts.repartition("c").mapInArrow(add, schema)
 
 
 def _at_ranks(unit: DataFrame, ranks: Sequence[int], n: int) -> list[list[float]]:
@@ -225,12 +237,17 @@ class ClusterIndex:
                 self._cover(spec, digest, n, base)
                 return Built("extended", "additions within the growth that the centroids bear", n, len(known))
         centroids, rounds = fit(now, clusters or suggested_clusters(n))
+        self.install(spec, now, centroids, digest, n)
+        return Built("refitted", "contents were removed, outgrew the centroids, or had no index", n, len(centroids), rounds)
+
+    def install(self, spec: Spec, vectors: DataFrame, centroids: np.ndarray, digest: str | None = None, n: int | None = None) -> None:
+        """Make vectors (content_hash, embedding_dim, embedding, text), assigned to centroids, the index of a scope."""
         scope = {k: v for k, v in self._scope(spec).items() if k != "source_table"}
-        self._table(spec).overwrite(self._clustered_rows(now, centroids, spec), scope)
+        self._table(spec).overwrite(self._clustered_rows(vectors, centroids, spec), scope)
         rows = [(*self._scope(spec).values(), i, [float(x) for x in c]) for i, c in enumerate(centroids)]
         self.catalog.load_or_create("vector_centroids", *LAYOUT["vector_centroids"]).overwrite(self.spark.createDataFrame(rows, CENTROIDS), self._scope(spec))
-        self._cover(spec, digest, n, n)  # last: until then a reader sees the index as stale
-        return Built("refitted", "contents were removed, outgrew the centroids, or had no index", n, len(centroids), rounds)
+        n = vectors.count() if n is None else n
+        self._cover(spec, digest or covered(vectors), n, n)  # last: until then a reader sees the index as stale
 
     def _table(self, spec: Spec):
         return self.catalog.load_or_create(clustered_name(spec.source_table), *LAYOUT["clustered"])

@@ -10,6 +10,7 @@ from vecloom.operators.content_map import covered_watermark, live_entries
 from vecloom.plans.spec import Spec
 from vecloom.sources.catalog import Catalog
 from vecloom.sources.schemas import LAYOUT, PROJECTION
+from vecloom.sources.versioned import REPLACE
 
 SUMMARY = ("rows", "distinct-vectors", "embedding-dim", "config-id", "source-sequence-number", "unresolved-rows")
 
@@ -56,12 +57,20 @@ class Publisher:
         builds = [c.summary for c in table.commits() if c.summary.get("config-id") == spec.config_id] if table else []
         return builds[-1] if builds and all(k in builds[-1] for k in SUMMARY) else None
 
+    def newest(self, spec: Spec) -> int | None:
+        """The content map's last version that holds something of this source and configuration; None if the log can't tell."""
+        map_ = self.catalog.load("content_map")
+        scope = {"source_table": spec.source_table, "config_id": spec.config_id}
+        commits = map_.commits() if map_ else []
+        own = [c.seq for c in commits if c.operation != REPLACE and any(all(f.partition.get(k) == v for k, v in scope.items()) for f in (*c.added, *c.removed))]
+        return own[-1] if own else commits[0].seq - 1 if commits and commits[0].parent is not None else None
+
     def is_current(self, spec: Spec) -> bool:
-        """Whether the published table holds the newest content map, with nothing unresolved."""
-        had, map_ = self.current(spec), self.catalog.load("content_map")
-        if had is None or map_ is None or had["unresolved-rows"] != "0":
+        """Whether the published table holds all that the content map has of this source, with nothing unresolved."""
+        had, newest = self.current(spec), self.newest(spec)
+        if had is None or newest is None or had["unresolved-rows"] != "0":
             return False
-        return had.get("map-version") == str(map_.version()[1])
+        return had.get("map-version", "").isdigit() and int(had["map-version"]) >= newest
 
     def build(self, spec: Spec, as_of: int | None = None) -> dict[str, str]:
         """Publish the projection (as of a sequence number, if one is named); returns its summary.

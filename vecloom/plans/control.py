@@ -1,13 +1,15 @@
 """The control plane: admission, life of a materialization, and the leased queue of work.
 
-State is small and transactional, so it lives in SQLite (one file for all processes of a driver host, or memory);
-writers take the lock at once (BEGIN IMMEDIATE), which makes leases exclusive.
+State is small and transactional, so it lives in SQLite: one file for all processes of a driver host, beside the catalog
+where that is on a local disk; for catalogs elsewhere a path must be named, and `:memory:` must be asked for. Writers take
+the lock at once (BEGIN IMMEDIATE), which makes leases exclusive; a lease is renewed while its work goes on.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
 import sqlite3
 import threading
 import time
@@ -69,13 +71,21 @@ create table if not exists work (
   dedup text primary key, materialization_id text, path text, snapshot_id integer, seq integer, kind text, priority integer, rows integer, state text default 'PENDING',
   attempts integer default 0, owner text, lease_ms integer, error text, created_ms integer);
 create table if not exists embedded (model_version text, config_id text, content_hash text, primary key (model_version, config_id, content_hash)) without rowid;
+create table if not exists registered (name text primary key, columns text, model text, embedding_version text, enabled integer, snapshot_id integer, seq integer);
 create table if not exists derived (source_table text, config_id text, metric text, value real, primary key (source_table, config_id, metric));
 """
 
 
 class Control:
-    def __init__(self, catalog: Catalog, path: str = ":memory:", clock: Callable[[], float] = time.time) -> None:
+    def __init__(self, catalog: Catalog, path: str | None = None, clock: Callable[[], float] = time.time) -> None:
         self.catalog, self.clock = catalog, clock
+        if path is None:
+            scheme, _, rest = catalog.root.partition("://")
+            if rest and scheme != "file":
+                raise ValueError(f"the catalog is at {catalog.root}: name a path on the driver's disk for its control state")
+            folder = rest or catalog.root.removeprefix("file:")
+            os.makedirs(folder, exist_ok=True)
+            path = f"{folder}/control.sqlite"
         self.db = sqlite3.connect(path, isolation_level=None, check_same_thread=False, timeout=60)
         self.db.row_factory = sqlite3.Row
         self.lock = threading.RLock()
@@ -259,6 +269,29 @@ class Control:
             db.executemany("update work set state = 'LEASED', owner = ?, lease_ms = ? where dedup = ?", [(owner, until, r["dedup"]) for r in rows])
         return [r | {"state": "LEASED", "owner": owner, "lease_ms": until} for r in rows]
 
+    def renew(self, dedup: str, owner: str, lease_s: int = LEASE_S) -> bool:
+        """Hold a lease for longer; False if it is no longer the owner's."""
+        with self._tx() as db:
+            return db.execute("update work set lease_ms = ? where dedup = ? and owner = ? and state = 'LEASED'", (self._now() + lease_s * 1000, dedup, owner)).rowcount > 0
+
+    @contextmanager
+    def holding(self, dedup: str, owner: str, lease_s: int = LEASE_S) -> Iterator[None]:
+        """Renew a lease every third of its time while the block runs."""
+        done = threading.Event()
+
+        def keep() -> None:
+            while not done.wait(lease_s / 3):
+                if not self.renew(dedup, owner, lease_s):
+                    return
+
+        thread = threading.Thread(target=keep, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
+
     def complete(self, dedup: str, owner: str, embedded: list[tuple[str, str, str]] = ()) -> bool:
         """Done, together with the record of (model version, configuration, content); repeating it changes nothing."""
         with self._tx() as db:
@@ -279,6 +312,11 @@ class Control:
         with self._tx() as db:
             return db.execute(f"update work set attempts = attempts + 1, owner = null, lease_ms = null, state = case when attempts + 1 >= {MAX_ATTEMPTS} then 'FAILED' else 'PENDING' end where state = 'LEASED' and lease_ms < ?", (self._now(),)).rowcount
 
+    def open_units(self, id_: str, paths: list[str]) -> int:
+        """How many of the units are not done."""
+        states = {r["path"]: r["state"] for r in self._all("select path, state from work where materialization_id = ?", id_)}
+        return sum(states.get(p, "DONE") != "DONE" for p in paths)
+
     def queue_depth(self) -> dict[str, int]:
         return {r["state"]: r["n"] for r in self._all("select state, count(*) n from work group by state")}
 
@@ -292,6 +330,51 @@ class Control:
     def embedded_count(self, model_version: str, config_id: str) -> int:
         return self._all("select count(*) n from embedded where model_version = ? and config_id = ?", model_version, config_id)[0]["n"]
 
+    # -- tables registered by hand, with the version that they were last synchronised to
+
+    def register_table(self, name: str, columns: list[str], model: str, embedding_version: str = "v1", enabled: bool = True) -> dict:
+        """Register a table once; its name, columns and model must be there."""
+        if not name or not columns or not model:
+            raise Rejected([f"no {what}" for what, v in (("table", name), ("columns", columns), ("model", model)) if not v])
+        with self._tx() as db:
+            if db.execute("select 1 from registered where name = ?", (name,)).fetchone():
+                raise AlreadyExists([f"table {name!r} is registered already"])
+            db.execute("insert into registered values (?,?,?,?,?,0,0)", (name, json.dumps(columns), model, embedding_version, int(enabled)))
+        return self.registered(name)
+
+    def registered(self, name: str) -> dict:
+        found = self._all("select * from registered where name = ?", name)
+        if not found:
+            raise LookupError(f"table {name!r} is not registered")
+        return found[0] | {"columns": json.loads(found[0]["columns"]), "enabled": bool(found[0]["enabled"])}
+
+    def set_embedding(self, name: str, model: str, embedding_version: str) -> dict:
+        """Another model or version starts the table anew; the same ones change nothing."""
+        now = self.registered(name)
+        if (now["model"], now["embedding_version"]) != (model, embedding_version):
+            self._set(name, model=model, embedding_version=embedding_version, snapshot_id=0, seq=0)
+        return self.registered(name)
+
+    def set_enabled(self, name: str, enabled: bool) -> dict:
+        self._set(name, enabled=int(enabled))
+        return self.registered(name)
+
+    def synchronised(self, name: str, snapshot_id: int, seq: int) -> dict:
+        self._set(name, snapshot_id=snapshot_id, seq=seq)
+        return self.registered(name)
+
+    def unregister(self, name: str, delete_embeddings: bool = False) -> None:
+        if delete_embeddings:
+            raise Rejected(["vectors are shared by content and are never deleted with a table"])
+        self.registered(name)
+        with self._tx() as db:
+            db.execute("delete from registered where name = ?", (name,))
+
+    def _set(self, name: str, **values: object) -> None:
+        self.registered(name)
+        with self._tx() as db:
+            db.execute(f"update registered set {', '.join(f'{k} = ?' for k in values)} where name = ?", (*values.values(), name))
+
     # -- metrics
 
     def record(self, source: str, config_id: str, values: dict[str, float]) -> None:

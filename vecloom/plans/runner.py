@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, replace
 
@@ -17,20 +17,23 @@ from vecloom.operators.ivf import ClusterIndex
 from vecloom.operators.maintenance import full_pass
 from vecloom.operators.projection import Publisher, distinct_vectors
 from vecloom.operators.search import top_k
-from vecloom.plans.control import Control
+from vecloom.plans.control import LEASE_S, Control
 from vecloom.plans.spec import Spec
+from vecloom.plans.sqlview import similarity_view
 from vecloom.sources.catalog import Catalog
-from vecloom.sources.embedders import Embedder
+from vecloom.sources.embedders import Embedder, embedder_for
 from vecloom.sources.versioned import SnapshotGone
 
 
 class Engine:
     """Everything over one catalog: control, derivation, publishing, index, search and maintenance."""
 
-    def __init__(self, catalog: Catalog, embedder: Embedder, control: Control | None = None, owner: str = "engine", reconcile: bool = True) -> None:
-        self.catalog, self.embedder, self.spark = catalog, embedder, catalog.spark
+    def __init__(self, catalog: Catalog, embedders: Embedder | Mapping[str, Embedder], control: Control | None = None, owner: str = "engine", reconcile: bool = True, unit_bytes: int = changes.UNIT_BYTES, lease_s: int = LEASE_S) -> None:
+        """embedders: one, or one by model name. unit_bytes: of the data files that one leased unit of work derives."""
+        self.catalog, self.embedders, self.spark = catalog, embedders, catalog.spark
         self.control, self.owner, self.reconcile_enabled = control or Control(catalog), owner, reconcile
-        self.deriver, self.publisher, self.index = Deriver(catalog, embedder), Publisher(catalog), ClusterIndex(catalog)
+        self.unit_bytes, self.lease_s = unit_bytes, lease_s
+        self.deriver, self.publisher, self.index = Deriver(catalog, embedders), Publisher(catalog), ClusterIndex(catalog)
 
     # -- one materialization
 
@@ -46,7 +49,7 @@ class Engine:
                 if m["state"] != "BACKFILLING":
                     self.control.backfilling(id_)
                 anchor = m["anchor_seq"]
-                total += self._drain(id_, spec, changes.backfill_work(source, anchor), "BACKFILL")
+                total += self._drain(id_, spec, changes.backfill_work(source, anchor, unit_bytes=self.unit_bytes), "BACKFILL")
                 start = anchor
             else:
                 start = m["watermark"]
@@ -56,7 +59,7 @@ class Engine:
                     raise SnapshotGone(found.reason)
                 if found.verdict == changes.SAFE:
                     mode = "incremental" if mode == "current" else mode
-                    total += self._drain(id_, spec, changes.incremental_work(source, start, target), "INCREMENTAL")
+                    total += self._drain(id_, spec, changes.incremental_work(source, start, target, self.unit_bytes), "INCREMENTAL")
                 elif self.reconcile_enabled:
                     mode = "reconcile"
                     total += self.reconcile(id_, spec, target, found.affected)
@@ -74,26 +77,26 @@ class Engine:
     def _drain(self, id_: str, spec: Spec, work: list[changes.Work], kind: str) -> Counters:
         """Queue units of work, lease them, derive and record them."""
         source, total = self.catalog.table(spec.source_table), Counters()
-        by_key = {}
-        for w in work:
-            item = (f"v{w.seq}", w.snapshot_id, w.seq, w.rows)
-            by_key[item[0], w.snapshot_id] = w
-            self.control.enqueue(id_, [item], kind)
+        by_key = {(w.name, w.snapshot_id): w for w in work}
+        self.control.enqueue(id_, [(name, w.snapshot_id, w.seq, w.rows) for (name, _), w in by_key.items()], kind)
         self.control.reclaim()
-        while leased := self.control.lease(self.owner, id_=id_):
-            for item in leased:
-                unit = by_key.get((item["path"], item["snapshot_id"]))
-                if unit is None:  # left by an earlier plan, and covered by this one
-                    self.control.complete(item["dedup"], self.owner)
-                    continue
-                try:
-                    got = self.deriver.derive(changes.read_work(source, [unit], spec.needed), spec, item["dedup"])
-                except Exception as e:
-                    self.control.fail(item["dedup"], self.owner, str(e)[:500])
-                    raise
+        while leased := self.control.lease(self.owner, 1, self.lease_s, id_):
+            item = leased[0]
+            unit = by_key.get((item["path"], item["snapshot_id"]))
+            if unit is None:  # left by an earlier plan, and covered by this one
                 self.control.complete(item["dedup"], self.owner)
-                self.control.record(spec.source_table, spec.config_id, {k: v for k, v in asdict(got).items()})
-                total += got
+                continue
+            try:
+                with self.control.holding(item["dedup"], self.owner, self.lease_s):
+                    got = self.deriver.derive(changes.read_work(source, [unit], spec.needed), spec, item["dedup"])
+            except Exception as e:
+                self.control.fail(item["dedup"], self.owner, str(e)[:500])
+                raise
+            self.control.complete(item["dedup"], self.owner)
+            self.control.record(spec.source_table, spec.config_id, {k: v for k, v in asdict(got).items()})
+            total += got
+        if left := self.control.open_units(id_, [name for name, _ in by_key]):
+            raise RuntimeError(f"{left} units of work are with another owner, or have failed")
         return total
 
     def reconcile(self, id_: str, spec: Spec, target: int, partitions: list[dict[str, str | None]]) -> Counters:
@@ -102,8 +105,8 @@ class Engine:
         keys = changes.present_keys(source, spec, target)
         changes.check_sweep(keys)
         total = Counters()
-        for w in changes.backfill_work(source, target, partitions):
-            got = self.deriver.derive(changes.read_work(source, [w], spec.needed), spec, f"reconcile-{id_}-{w.snapshot_id}")
+        for w in changes.backfill_work(source, target, partitions, self.unit_bytes):
+            got = self.deriver.derive(changes.read_work(source, [w], spec.needed), spec, f"reconcile-{id_}-{w.snapshot_id}-{w.name}")
             total += got
         commit = next(c for c in source.commits() if c.seq == target)
         live = live_entries(self.deriver.history(spec))
@@ -134,10 +137,23 @@ class Engine:
 
     def search(self, spec: Spec, text: str, k: int = 10) -> DataFrame:
         """Exact top k over the serving table, for a text."""
-        return top_k(self.publisher.read(spec), self.embedder.embed_query(text), k).select("source_row_id", "chunk_ordinal", "content_hash", "similarity", "text")
+        return top_k(self.publisher.read(spec), self.embed_query(spec, text), k).select("source_row_id", "chunk_ordinal", "content_hash", "similarity", "text")
 
     def probe(self, spec: Spec, text: str, k: int = 10, probes: int = 8, require_fresh: bool = False, include_exact: bool = False) -> dict[str, object]:
-        return self.index.search(spec, self.embedder.embed_query(text), k, probes, require_fresh, include_exact)
+        return self.index.search(spec, self.embed_query(spec, text), k, probes, require_fresh, include_exact)
+
+    def embed_query(self, spec: Spec, text: str) -> list[float]:
+        """The vector of a query, by the model that the scope's contents went through."""
+        return embedder_for(self.embedders, spec).embed_query(text)
+
+    def view(self, spec: Spec, name: str, engine: str = "spark") -> str:
+        """DDL of a similarity view over the published table, whose width is looked up in its last build."""
+        if engine not in ("spark", "trino"):
+            raise ValueError(f"unknown engine: {engine!r}; known are spark, trino")
+        built = self.publisher.current(spec)
+        if built is None or not int(built["embedding-dim"]):
+            raise LookupError(f"nothing is published for {spec.source_table} under {spec.config_id}: its width is not known")
+        return similarity_view(name, self.publisher.name(spec), int(built["embedding-dim"]), engine)
 
     def provenance(self, spec: Spec, row: str, ordinal: int = 0) -> dict[str, object]:
         """The history of a chunk, the assertion that counts, and its vector."""

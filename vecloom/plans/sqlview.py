@@ -24,8 +24,8 @@ def _check(dimension: int) -> None:
         raise ValueError(f"the dimension must be positive: {dimension}")
 
 
-def spark_search(table: str, dimension: int) -> str:
-    """A top-k query in Spark SQL; a query of another width gives no rows, zero norms give nulls."""
+def _spark_scored(table: str, dimension: int) -> str:
+    """Rows with their similarity; a query of another width gives no rows, zero norms give nulls."""
     _check(dimension)
     def fold(a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, v) -> s + v)"
@@ -35,21 +35,36 @@ def spark_search(table: str, dimension: int) -> str:
         f"WITH q AS (SELECT transform({QUERY}, x -> CAST(x AS DOUBLE)) AS v)\n"
         f"SELECT t.content_hash, t.source_row_id, t.chunk_ordinal, t.text, {fold(v, q)} / NULLIF(sqrt({fold(v, v)}) * sqrt({fold(q, q)}), 0D) AS similarity\n"
         f"FROM {quoted(table, '`')} t CROSS JOIN q\n"
-        f"WHERE size(t.embedding) = {dimension} AND size(q.v) = {dimension}\n"
-        f"ORDER BY similarity DESC NULLS LAST, t.content_hash LIMIT {LIMIT}"
+        f"WHERE size(t.embedding) = {dimension} AND size(q.v) = {dimension}"
     )
 
 
-def trino_search(table: str, dimension: int) -> str:
+def _trino_scored(table: str, dimension: int) -> str:
     _check(dimension)
     return (
         f"SELECT t.content_hash, t.source_row_id, t.chunk_ordinal, t.text, cosine_similarity(CAST(t.embedding AS array(double)), q.v) AS similarity\n"
         f"FROM {quoted(table, chr(34))} t CROSS JOIN (SELECT CAST({QUERY} AS array(double)) AS v) q\n"
-        f"WHERE cardinality(t.embedding) = {dimension} AND cardinality(q.v) = {dimension}\n"
-        f"ORDER BY similarity DESC, t.content_hash LIMIT {LIMIT}"
+        f"WHERE cardinality(t.embedding) = {dimension} AND cardinality(q.v) = {dimension}"
     )
 
 
+def spark_search(table: str, dimension: int) -> str:
+    """A top-k query in Spark SQL."""
+    return f"{_spark_scored(table, dimension)}\nORDER BY similarity DESC NULLS LAST, t.content_hash LIMIT {LIMIT}"
+
+
+def trino_search(table: str, dimension: int) -> str:
+    return f"{_trino_scored(table, dimension)}\nORDER BY similarity DESC, t.content_hash LIMIT {LIMIT}"
+
+
+def similarity_view(view: str, table: str, dimension: int, engine: str = "spark", temporary: bool = False) -> str:
+    """A view of the rows with their similarity to a query vector, whose placeholder bind_vector() fills."""
+    if engine not in ("spark", "trino"):
+        raise ValueError(f"unknown engine: {engine!r}; known are spark, trino")
+    body = (_spark_scored if engine == "spark" else _trino_scored)(table, dimension)
+    return f"CREATE OR REPLACE {'TEMPORARY ' if temporary else ''}VIEW {quoted(view, '`' if engine == 'spark' else chr(34))} AS\n{body}"
+
+
 def view_ddl(view: str, table: str, engine: str = "spark") -> str:
     """A view of a serving table without its internal columns."""
     if engine not in ("spark", "trino"):
@@ -73,15 +88,21 @@ def vector_literal(vector: Sequence[float]) -> str:
     return f"array({', '.join(f'{x!r}D' if 'e' not in repr(x) else f'CAST({x!r} AS DOUBLE)' for x in values)})"
 
 
-def bind(sql: str, vector: Sequence[float], limit: int, engine: str = "spark") -> str:
-    """The query with its placeholders filled; a text without them is refused."""
-    for mark in (QUERY, LIMIT):
-        if mark not in sql:
-            raise ValueError(f"the query lacks {mark}")
+def bind_vector(sql: str, vector: Sequence[float], engine: str = "spark") -> str:
+    """The text with its vector filled in; one without the placeholder is refused."""
+    if QUERY not in sql:
+        raise ValueError(f"the query lacks {QUERY}")
     text = vector_literal(vector)
     if engine == "trino":
         text = "ARRAY[" + ", ".join(f"DOUBLE '{float(x)!r}'" for x in vector) + "]"
-    return sql.replace(QUERY, text).replace(LIMIT, str(int(limit)))
+    return sql.replace(QUERY, text)
+
+
+def bind(sql: str, vector: Sequence[float], limit: int, engine: str = "spark") -> str:
+    """The query with its placeholders filled; a text without them is refused."""
+    if LIMIT not in sql:
+        raise ValueError(f"the query lacks {LIMIT}")
+    return bind_vector(sql, vector, engine).replace(LIMIT, str(int(limit)))
 
 
 def run(spark: SparkSession, sql: str, vector: Sequence[float], limit: int):

@@ -9,13 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import chunkers
-from vecloom.functions.identity import canonical_text, content_hash, dedup_key, hash_prefix, row_id, store_key, tree_digest, vector_id
+from vecloom.functions.identity import canonical_text, content_hash, hash_prefix, row_id, store_key, tree_digest, vector_id
 from vecloom.functions.vectors import cosine_to, nearest_centroid, norm
 from vecloom.operators import content_map as cm
+from vecloom.operators import derive, projection
+from vecloom.operators.derive import exploded, map_rows, planned, store_rows
+from vecloom.operators.ivf import ClusterIndex
 from vecloom.operators.projection import shape
-from vecloom.operators.search import probe, recall, top_k
+from vecloom.operators.search import recall, top_k
+from vecloom.plans.control import Control
+from vecloom.plans.runner import Engine
 from vecloom.plans.spec import Spec
+from vecloom.sources.catalog import Catalog
 from vecloom.sources.embedders import StoredVectors
+from vecloom.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,20 +83,33 @@ def chunk_fixed(spark, sf_dir):
     return rows.select("doc_id", F.col("c.ordinal").alias("chunk_ordinal"), content_hash(F.col("c.text")).alias("content_hash"), F.length("c.text").alias("n_chars"))
 
 
-@query("select sha256(text) as content_hash, count(*) as n_rows, min(doc_id) as first_doc from documents where text is not null group by 1")
+def _stamped(rows: DataFrame, seq: int = 1) -> DataFrame:
+    """Rows that count as of a version."""
+    return rows.withColumns({c: F.lit(seq).cast("long") for c in ("__seq", "__snapshot_id", "__committed_at")})
+
+
+def _chunked(spark: SparkSession, sf_dir: str, spec: Spec, where: str = "true") -> DataFrame:
+    """The chunks of documents with their hashes, as derivation makes them."""
+    return exploded(planned(_stamped(read(spark, sf_dir, "documents").filter(where)), spec))
+
+
+def _stored(spark: SparkSession, sf_dir: str, contents: DataFrame, spec: Spec) -> DataFrame:
+    """The rows of the embedding store for contents (content_hash, text)."""
+    return store_rows(StoredVectors(read(spark, sf_dir, "embeddings")).embed(contents), spec)
+
+
+@query(f"select sha256(text) as content_hash, length(any_value(text)) as n_chars from ({_CHUNKS}) group by 1")
 def distinct_content(spark, sf_dir):
-    return read(spark, sf_dir, "documents").filter("text is not null").groupBy(content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_doc"))
+    return derive.distinct_content(_chunked(spark, sf_dir, CHUNKED)).select("content_hash", F.length("text").alias("n_chars"))
 
 
 @query(f"""select (select count(*) from documents) as n_rows, count(*) as chunks, count(distinct sha256(text)) as inference_calls, (count(*) - count(distinct sha256(text))) as cache_hits,
-  round(1 - count(distinct sha256(text)) / count(*), 6) as inference_avoided from ({_CHUNKS})""")
+  round(1 - count(distinct sha256(text)) / count(*), 6) as inference_avoided, 0 as failed from ({_CHUNKS})""")
 def dedup_savings(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    chunks = docs.select(F.explode(chunkers.of_spec(CHUNKED)(F.col("text"))).alias("c")).select(content_hash(F.col("c.text")).alias("h"))
-    # sums by content first: no task sees all chunks
-    sums = chunks.groupBy("h").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count("*").alias("inference_calls"))
-    rows = docs.agg(F.count("*").alias("n_rows"))
-    return rows.crossJoin(sums).select("n_rows", "chunks", "inference_calls", (F.col("chunks") - F.col("inference_calls")).alias("cache_hits"), F.round(1 - F.try_divide("inference_calls", "chunks"), 6).alias("inference_avoided"))  # one row each
+    """The counters of a derivation into an empty store."""
+    engine = _engine(spark, sf_dir)
+    got = engine.deriver.derive(_stamped(read(spark, sf_dir, "documents").select("doc_id", "text")), CHUNKED)
+    return spark.createDataFrame([(got.rows, got.chunks, got.inference_calls, got.cache_hits, round(got.inference_avoided, 6), got.failed)], "n_rows long, chunks long, inference_calls long, cache_hits long, inference_avoided double, failed long")
 
 
 _EARLY = "doc_id % 3 = 0"
@@ -97,10 +117,9 @@ _EARLY = "doc_id % 3 = 0"
 
 @query(f"select distinct sha256(text) as content_hash from documents n where not ({_EARLY}) and text is not null and not exists (select 1 from documents o where o.{_EARLY} and o.text = n.text)")
 def novel_content(spark, sf_dir):
-    """Contents of later rows that earlier rows did not have."""
-    docs = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
-    known = docs.filter(_EARLY).select("content_hash").distinct()
-    return docs.filter(f"not ({_EARLY})").select("content_hash").distinct().join(known, "content_hash", "left_anti")
+    """Contents of later rows that the store does not have from earlier ones."""
+    store = _stored(spark, sf_dir, derive.distinct_content(_chunked(spark, sf_dir, SPEC, _EARLY)), SPEC)
+    return derive.novel_content(derive.distinct_content(_chunked(spark, sf_dir, SPEC, f"not ({_EARLY})")).select("content_hash"), store, SPEC)
 
 
 @query("select item_id, count(doc_id) as n_docs from benchmark b left join documents d on sha256(d.text) = sha256(b.text) group by item_id")
@@ -188,9 +207,9 @@ def covered_watermark(spark, sf_dir):
 
 @query(f"with l as ({_LIVE}) select user_id, seq, content_hash from l where not ({_KNOWN})")
 def unresolved_rows(spark, sf_dir):
-    live = cm.live_entries(history(spark, sf_dir))
-    store = history(spark, sf_dir).filter("content_hash is not null").filter(_known()).select("content_hash").distinct()
-    return _users(live.join(store, "content_hash", "left_anti"))
+    h = history(spark, sf_dir)
+    store = h.filter("content_hash is not null").filter(_known()).select("content_hash", F.lit(SPEC.model_version).alias("model_version"), F.lit(SPEC.config_id).alias("config_id")).distinct()
+    return _users(projection.unresolved(cm.live_entries(h), store, SPEC))
 
 
 @query(f"with l as ({_LIVE}) select l.user_id from l where not exists (select 1 from events e where e.user_id = l.user_id and e.event_id % 97 = 0)")
@@ -202,12 +221,6 @@ def sweep_vanished(spark, sf_dir):
     return vanished(cm.live_entries(history(spark, sf_dir)), keys).select(F.col("source_row_id").cast("long").alias("user_id"))
 
 
-@query("select o_orderkey from orders o where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')")
-def reconcile_vanished(spark, sf_dir):
-    keys = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf_dir, "orders").select("o_orderkey").join(keys, "o_orderkey", "left_anti")
-
-
 @query("""with l as (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as ordinal from lineitem),
 c as (select o_orderkey, (o_orderkey % 4)::bigint as n from orders)
 select o_orderkey, ordinal from c join l on l_orderkey = o_orderkey where ordinal >= n union select o_orderkey, 0 from c where n = 0""")
@@ -236,12 +249,15 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "content_hash").join(stored.embed(distinct).select("content_hash", "embedding"), "content_hash")
 
 
-@query(f"select d.doc_id, sha256(d.text) as content_hash, e.vec_id, len(e.embedding)::int as embedding_dim from documents d join embeddings e on e.vec_id = {_SLOT.format(t='d.text')}")
+@query(f"""select d.doc_id, sha256(d.text) as content_hash, len(e.embedding)::int as embedding_dim, round(list_sum(list_transform(e.embedding::double[], lambda x: x)), 4) as total, {_VECTOR_ID.format(config=SPEC.config_id)} as vector_id
+  from documents d join embeddings e on e.vec_id = {_SLOT.format(t='d.text')}""")
 def projection_join(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
-    vectors = read(spark, sf_dir, "embeddings")
-    slot = StoredVectors(vectors).slot(F.col("content_hash"))
-    return docs.withColumn("slot", slot).join(vectors, F.col("slot") == F.col("vec_id")).select("doc_id", "content_hash", "vec_id", F.size("embedding").alias("embedding_dim"))
+    """Rows of a serving table: live entries of version 7 with their vectors."""
+    chunks = exploded(planned(_stamped(read(spark, sf_dir, "documents"), 7), SPEC))
+    live = cm.live_entries(map_rows(chunks, SPEC, False))
+    rows = projection.projection_rows(live, _stored(spark, sf_dir, derive.distinct_content(chunks), SPEC), SPEC, 0)
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return rows.select(F.col("source_row_id").cast("long").alias("doc_id"), "content_hash", "embedding_dim", F.round(total, 4).alias("total"), "vector_id")
 
 
 @query(f"select count(*) as n_rows, count(distinct sha256(d.text)) as distinct_vectors, min(len(e.embedding))::int as min_dim, max(len(e.embedding))::int as max_dim from documents d join embeddings e on e.vec_id = {_SLOT.format(t='d.text')}")
@@ -300,63 +316,44 @@ def centroid_assign(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", nearest_centroid(F.col("embedding"), _centroids(spark, sf_dir)).alias("cluster_id"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> ClusterIndex:
+    """An index of all vectors by the given centroids, laid out in partitions."""
+    index = _engine(spark, sf_dir).index
+    vectors = read(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 19, "0").alias("content_hash"), F.size("embedding").alias("embedding_dim"), "embedding", F.lit(None).cast("string").alias("text"))
+    index.install(SPEC, vectors, _centroids(spark, sf_dir))
+    return index
+
+
 @query(f"select cluster_id, count(*) as n from ({_ASSIGN}) group by 1")
 def cluster_sizes(spark, sf_dir):
-    return centroid_assign(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return _index(spark, sf_dir).cluster_sizes(SPEC).withColumnRenamed("count", "n")
 
 
 _PROBED = f"select cluster_id from ({_CENT}) order by list_cosine_similarity(c::double[], {_Q}::double[]) desc, cluster_id limit {PROBES}"
 _PROBE = f"select vec_id, cluster_id, {_COS} as similarity from ({_ASSIGN}) where cluster_id in ({_PROBED}) order by list_cosine_similarity(embedding::double[], {_Q}::double[]) desc, vec_id limit {K}"
 
 
-def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vecloom.operators.ivf import rank_clusters
-
-    centroids, vector = _centroids(spark, sf_dir), _query_vector(spark, sf_dir)
-    clustered = read(spark, sf_dir, "embeddings").withColumn("cluster_id", nearest_centroid(F.col("embedding"), centroids)).withColumn("content_hash", F.lpad(F.col("vec_id").cast("string"), 19, "0"))
-    return probe(clustered, rank_clusters(vector, centroids)[:PROBES], vector, K)
-
-
 @query(_PROBE)
 def cluster_probe(spark, sf_dir):
-    return _probe(spark, sf_dir).select("vec_id", "cluster_id", F.round("similarity", 6).alias("similarity"))
+    hits = _index(spark, sf_dir).search(SPEC, _query_vector(spark, sf_dir), K, PROBES)["hits"]
+    return hits.select(F.col("content_hash").cast("long").alias("vec_id"), "cluster_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""with p as ({_PROBE}), x as (select vec_id from embeddings order by list_cosine_similarity(embedding::double[], {_Q}::double[]) desc, vec_id limit {K})
-select count(p.vec_id) as hits, count(*) as wanted, count(p.vec_id) / count(*) as recall from x left join p on p.vec_id = x.vec_id""")
+@query(f"""with p as ({_PROBE}), x as (select vec_id from embeddings order by list_cosine_similarity(embedding::double[], {_Q}::double[]) desc, vec_id limit {K}),
+  a as ({_ASSIGN})
+select count(p.vec_id) as hits, count(*) as wanted, count(p.vec_id) / count(*) as recall, (select count(*) from a where cluster_id in ({_PROBED})) as rows_scanned, (select count(*) from a) as total_rows from x left join p on p.vec_id = x.vec_id""")
 def probe_recall(spark, sf_dir):
-    exact = top_k(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), K, tie="vec_id")
-    return recall(_probe(spark, sf_dir), exact, "vec_id").select(F.col("hits").cast("long").alias("hits"), "wanted", "recall")
-
-
-# -- control
-
-@query("select event_type as state, count(*) as n from events group by 1")
-def queue_depth(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("n"))
-
-
-@query("select event_id, event_type, priority from (select event_id, event_type, case when event_type = 'click' then 0 else 100 end as priority, ts from events) order by priority, ts, event_id limit 500")
-def queue_order(spark, sf_dir):
-    """The next lease: by priority, then age."""
-    rows = read(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_type") == "click", 0).otherwise(100).alias("priority"), "ts")
-    return rows.orderBy("priority", "ts", "event_id").limit(500).select("event_id", "event_type", "priority")
-
-
-@query("select doc_id, sha256('m1' || chr(31) || source || chr(31) || doc_id::varchar) as dedup_key from documents")
-def work_dedup_key(spark, sf_dir):
-    assert len(dedup_key("m1", "s", 1)) == 64
-    return read(spark, sf_dir, "documents").select("doc_id", content_hash(F.concat_ws("\x1f", F.lit("m1"), F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))).alias("dedup_key"))
+    """A pruned search against the exact one over the same index, and how much of it was read."""
+    got = _index(spark, sf_dir).search(SPEC, _query_vector(spark, sf_dir), K, PROBES, include_exact=True)
+    out = recall(got["hits"], got["exact"]).select(F.col("hits").cast("long").alias("hits"), "wanted", "recall")
+    return out.withColumns({c: F.lit(got[c]).cast("long") for c in ("rows_scanned", "total_rows")})
 
 
 # -- life cycles, over tables in the shared folder; held against brute force by the tests
 
 def _engine(spark: SparkSession, sf_dir: str):
-    from vecloom.plans.runner import Engine
-    from vecloom.sources.catalog import Catalog
-    from vecloom.sources.shared import shared_dir
-
-    return Engine(Catalog(spark, f"{shared_dir(spark)}/life/{uuid.uuid4().hex}"), StoredVectors(read(spark, sf_dir, "embeddings")))
+    catalog = Catalog(spark, f"{shared_dir(spark)}/life/{uuid.uuid4().hex}")
+    return Engine(catalog, StoredVectors(read(spark, sf_dir, "embeddings")), Control(catalog, ":memory:"))
 
 
 def _derived(spark: SparkSession, sf_dir: str, spec: Spec):
@@ -387,29 +384,55 @@ def derive_search(spark, sf_dir):
     """Chunks, vectors, projection; then the contents most similar to the first document's vector."""
     engine, _, _ = _derived(spark, sf_dir, CHUNKED)
     text = read(spark, sf_dir, "documents").filter("doc_id = 0").first()["text"]
-    rows = engine.publisher.read(CHUNKED).withColumn("similarity", F.round(cosine_to(F.col("embedding"), engine.embedder.embed_query(text), "search"), 6))
+    rows = engine.publisher.read(CHUNKED).withColumn("similarity", F.round(cosine_to(F.col("embedding"), engine.embed_query(CHUNKED, text), "search"), 6))
     best = rows.agg(F.max("similarity").alias("best"))
     return rows.join(F.broadcast(best), F.col("similarity") == F.col("best")).groupBy("content_hash", "similarity").agg(F.count("*").alias("n"))  # one row
 
 
-@query()
+_CONTENTS = "(select count(distinct text) from documents where text is not null and not regexp_full_match(text, '\\s*'))"
+_WIDE = f"(case when {_CONTENTS} <= 4 then 1 else least(greatest(round(sqrt({_CONTENTS})), 2), 4096) end)::bigint"
+
+
+@query(f"""select step, action, contents, {_WIDE} as clusters, freshness, 'FRESH' as after from (values
+  (0, 'refitted', {_CONTENTS}, 'UNKNOWN'), (1, 'reused', {_CONTENTS}, 'FRESH'), (2, 'extended', {_CONTENTS} + 1, 'BEHIND'), (3, 'refitted', {_CONTENTS}, 'BEHIND')) t(step, action, contents, freshness)""")
 def index_lifecycle(spark, sf_dir):
-    """Build, reuse, extend and refit the cluster index as the contents change."""
+    """Build, reuse, extend and refit the cluster index as the contents change; how fresh it is before and after."""
     engine, id_, _ = _derived(spark, sf_dir, SPEC)
-    out = [engine.index.build(SPEC)]
-    out.append(engine.index.build(SPEC))
-    table = engine.catalog.table("documents")
-    row = spark.createDataFrame([(1 << 40, "a text that no document has", "en", "new")], table.schema)
-    table.append(row)
+    table, out = engine.catalog.table("documents"), []
+
+    def build() -> None:
+        before, made = engine.index.freshness(SPEC), engine.index.build(SPEC)
+        out.append((len(out), made.action, made.contents, made.clusters, before, engine.index.freshness(SPEC)))
+
+    build()
+    build()
+    table.append(spark.createDataFrame([(1 << 40, "a text that no document has", "en", "new")], table.schema))
     engine.run_one(id_)
-    out.append(engine.index.build(SPEC))
+    build()
     table.delete_where(F.col("doc_id") == 1 << 40)
     engine.run_one(id_)
-    out.append(engine.index.build(SPEC))
-    return spark.createDataFrame([(i, b.action, b.contents, b.clusters) for i, b in enumerate(out)], "step int, action string, contents long, clusters int")
-
-
-@query()
+    build()
+    return spark.createDataFrame(out, "step int, action string, contents long, clusters long, freshness string, after string")
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """Spherical k-means in plain SQL: strided starts, the lowest id among equals, single-precision centroids."""
+    parts = [
+        "u as materialized (select sha256(vec_id::varchar) as h, list_transform(embedding::double[], lambda x: x / sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y))))::float[]::double[] as u from embeddings)",
+        "o as (select u, row_number() over (order by h) - 1 as r, count(*) over () as n from u)",
+        f"c0 as materialized (select i::int as c, u as v from o join range({CLUSTERS}) t(i) on r = i * n // {CLUSTERS})",
+    ]
+    assign = "a{i} as materialized (select h, u, c from (select u.h, u.u, k.c, row_number() over (partition by u.h order by list_cosine_similarity(u.u, k.v) desc, k.c) as p from u cross join c{i} k) where p = 1)"
+    move = (
+        "c{j} as materialized (select c, list((x / sqrt(q))::float::double order by i) as v from (select c, i, x, sum(x * x) over (partition by c) as q from "
+        "(select c, i, sum(x) as x from (select c, unnest(u) as x, unnest(range(len(u))) as i from a{i}) group by c, i)) group by c)"
+    )
+    for i in range(rounds):
+        parts += [assign.format(i=i), move.format(i=i, j=i + 1)]
+    return f"with {', '.join(parts)}, {assign.format(i=rounds)} select c as cluster_id, count(*) as n from a{rounds} group by 1"
+
+
+@query(_kmeans_sql(25))
 def kmeans_fit(spark, sf_dir):
     """Spherical k-means over all vectors: the size of each cluster."""
     from vecloom.operators.ivf import assign, fit

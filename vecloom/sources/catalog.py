@@ -51,13 +51,14 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     Table files are listed and parsed by Spark tasks; only metadata is read.
     """
     # one folder a table; they are named one by one because Spark's listing leaves out names that begin with an underscore
-    logs = [f"{root.rstrip('/')}/{p.removesuffix('/table.json')}" for p, _ in Store(spark, root).files("") if p.endswith("_log/table.json")]
+    logs = [f"{root.rstrip('/')}/{p.removesuffix('/table.json')}" for p, _ in Store(spark, root).files("") if p.endswith("_log/table.json")]  # every table has its first description
     if not logs:
         return spark.createDataFrame([], "uuid string, name string, location string, columns string, partition_by array<string>, format_version int, snapshots long, last_seq long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(logs).filter(F.col("path").rlike("/_log/[^/]+\\.json$"))
     parts = files.select(F.regexp_extract("path", "^(.*)/_log/([^/]+)\\.json$", 1).alias("location"), F.regexp_extract("path", "/_log/([^/]+)\\.json$", 1).alias("entry"), F.decode("content", "UTF-8").alias("text"))
-    log = parts.filter("entry != 'table'").groupBy("location").agg(F.count("*").alias("snapshots"), F.max(F.col("entry").cast("long")).alias("last_seq"))
-    meta = parts.filter("entry = 'table'").select(
+    log = parts.filter("entry rlike '^[0-9]+$'").groupBy("location").agg(F.count("*").alias("snapshots"), F.max(F.col("entry").cast("long")).alias("last_seq"))
+    newest = parts.filter("entry rlike '^table'").groupBy("location").agg(F.max_by("text", "entry").alias("text"))
+    meta = newest.select(
         "location", F.get_json_object("text", "$.uuid").alias("uuid"), F.get_json_object("text", "$.name").alias("name"), F.get_json_object("text", "$.schema").alias("columns"),
         F.element_at(F.from_json(F.get_json_object("text", "$.specs"), "array<array<string>>"), -1).alias("partition_by"), F.get_json_object("text", "$.format-version").cast("int").alias("format_version"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import numpy as np
@@ -12,8 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.plans.spec import Spec
+
 
 class Embedder(Protocol):
+    #: The model that it runs; None if it answers for any name.
+    model: str | None
+
     def embed(self, texts: DataFrame) -> DataFrame:
         """content_hash, text -> content_hash, text, embedding (array<double>), error (null if it went well)."""
 
@@ -23,6 +28,8 @@ class Embedder(Protocol):
 class StoredVectors:
     """Deterministic, and expressible in SQL: a text's hash picks one of the vectors of a table."""
 
+    model: str | None = None
+
     def __init__(self, vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> None:
         self.vectors = vectors.select(F.col(key).alias("__id"), F.col(column).cast("array<double>").alias("__v"))
         self.n = vectors.count()
@@ -42,8 +49,8 @@ class StoredVectors:
 class Batched:
     """An embedder that calls a client on batches within each partition; batches that fail give rows with the error."""
 
-    def __init__(self, client: Callable[[list[str]], list], batch: int = 64, attempts: int = 3, wait_s: float = 0.2) -> None:
-        self.client, self.batch, self.attempts, self.wait_s = client, batch, attempts, wait_s
+    def __init__(self, client: Callable[[list[str]], list], batch: int = 64, attempts: int = 3, wait_s: float = 0.2, model: str | None = None) -> None:
+        self.client, self.batch, self.attempts, self.wait_s, self.model = client, batch, attempts, wait_s, model
 
     def embed(self, texts: DataFrame) -> DataFrame:
         client, size, attempts, wait = self.client, self.batch, self.attempts, self.wait_s
@@ -89,10 +96,10 @@ def gaussian(dim: int = 384, model: str = "gaussian") -> Batched:
             out.append(v / np.linalg.norm(v))
         return out
 
-    return Batched(client, batch=512, attempts=1)
+    return Batched(client, batch=512, attempts=1, model=model)
 
 
-def http(url: str, template: str = '{"input": {{texts}}}', pointer: str = "/data/*/embedding", headers: dict[str, str] | None = None, batch: int = 64, timeout: float = 60.0) -> Batched:
+def http(url: str, template: str = '{"input": {{texts}}}', pointer: str = "/data/*/embedding", headers: dict[str, str] | None = None, batch: int = 64, timeout: float = 60.0, model: str | None = None) -> Batched:
     """An external service: `{{texts}}` in the template becomes the JSON list, `pointer` leads to the vectors in the answer."""
 
     def client(texts: list[str]) -> list:
@@ -103,7 +110,7 @@ def http(url: str, template: str = '{"input": {{texts}}}', pointer: str = "/data
         with urllib.request.urlopen(request, timeout=timeout) as answer:
             return resolve(json.load(answer), pointer)
 
-    return Batched(client, batch)
+    return Batched(client, batch, model=model)
 
 
 TEMPLATES = {
@@ -117,7 +124,18 @@ def external(kind: str, url: str, model: str = "", key: str | None = None, batch
     if kind not in TEMPLATES:
         raise ValueError(f"unknown provider: {kind!r}; known are {', '.join(TEMPLATES)}")
     template, pointer = TEMPLATES[kind]
-    return http(url, template.replace("{{model}}", model), pointer, {"Authorization": f"Bearer {key}"} if key else None, batch)
+    return http(url, template.replace("{{model}}", model), pointer, {"Authorization": f"Bearer {key}"} if key else None, batch, model=model or None)
+
+
+def embedder_for(embedders: Embedder | Mapping[str, Embedder], spec: Spec) -> Embedder:
+    """The embedder of a spec's model: texts and queries of one scope go through one model, and no other."""
+    if isinstance(embedders, Mapping):
+        if spec.model_name not in embedders:
+            raise LookupError(f"there is no embedder for model {spec.model_name!r}; there are {', '.join(sorted(embedders))}")
+        return embedders[spec.model_name]
+    if embedders.model is not None and embedders.model != spec.model_name:
+        raise LookupError(f"the embedder runs model {embedders.model!r}, not {spec.model_name!r}")
+    return embedders
 
 
 def resolve(value: object, pointer: str) -> object:

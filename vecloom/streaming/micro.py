@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,3 +22,12 @@ def derive_stream(rows: DataFrame, spec: Spec, deriver: Deriver, checkpoint: str
         deriver.derive(stamped, spec, f"stream-{spec.source_table}-{spec.config_id}-{seq}")
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def schedule(spark: SparkSession, every_s: int, action: Callable[[], object], checkpoint: str) -> StreamingQuery:
+    """Run an action on the driver every so many seconds (a cycle, a maintenance pass, an index build), until stopped.
+
+    A run that takes longer delays the next one; an error of the action ends the query and shows in its exception.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: action()).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every_s} seconds").start()
