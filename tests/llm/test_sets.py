@@ -161,7 +161,7 @@ def test_targets_stop_at_twice_a_source(spark):
 
 # -- op7
 
-def test_license_scan_agrees_with_sql(spark):
+def test_license_scan_agrees_with_sql(spark, monkeypatch):
     duckdb = pytest.importorskip("duckdb")
     notices = [t for v in licenses.TEMPLATES.values() for t in v]
     rows = [(i, " ".join([words(int(rng.integers(0, 60))), t.upper() if i % 2 else t, words(20)]), "s") for i, t in enumerate(notices)]
@@ -173,10 +173,26 @@ def test_license_scan_agrees_with_sql(spark):
     same_rows(got.toArrow(), con.sql(licenses.oracle()).to_arrow_table())
     found = {r["doc_id"] for r in got.collect()}
     assert set(range(len(notices))) | {103, 105} == found
+    monkeypatch.setattr(licenses, "MAX_SHINGLES", 10)  # a set of templates that is too large for literals
+    same_rows(licenses.scan(docs, licenses.templates(spark)).toArrow(), got.toArrow())
     assert licenses.scan(docs.limit(0), licenses.templates(spark)).count() == 0
     assert licenses.scan(docs, licenses.templates(spark).limit(0)).count() == 0
 
 
+def test_parts_and_reflowed_licenses_are_found(spark, tmp_path):
+    mit = licenses._MIT
+    reflowed = "\n * ".join(" ".join(mit).lower().split(" ")[i : i + 9][0:9] and " ".join(" ".join(mit).lower().split(" ")[i : i + 9]) for i in range(0, len(" ".join(mit).split(" ")), 9))
+    rows = [(1, f"{words(30)}\n/* {reflowed} */ {words(10)}", "s"), (2, mit[0] + " " + words(50), "s"), (3, " ".join(licenses._BSD).replace("COPYRIGHT HOLDER OR", "AUTHOR OR"), "s"), (4, licenses._gnu("3", "GNU Affero General Public License"), "s"), (5, " ".join(mit).replace("software", "thing"), "s"), (6, words(200), "s")]
+    got = {}
+    for r in licenses.scan(frame(spark, rows), licenses.templates(spark)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got[1] == {"MIT"} and "MIT" in got[2] and "BSD-3-Clause" in got[3] and got[4] == {"AGPL-3.0"} and 6 not in got
+    (tmp_path / "Own-1.0.txt").write_text("A license of one\nsentence that nobody else has written before us, we hope.")
+    own = licenses.templates_from(spark, f"file://{tmp_path}")
+    found = licenses.scan(frame(spark, [(1, "x y z a license of one sentence that nobody else has written before us we hope", "s")]), own).collect()
+    assert [(r["license"], r["containment"]) for r in found] == [("Own-1.0", 1.0)]
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark, tmp_path):
