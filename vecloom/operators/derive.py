@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vecloom.functions import chunkers
@@ -151,30 +151,35 @@ class Deriver:
         if batch_key and any(c.summary.get("batch-key") == batch_key for c in self.map.commits()):
             return Counters()
         source = planned(rows, spec)
-        plan = self._kept(slim(source), "plan")
+        # counters are observed where rows are written, so that nothing is read again for them
+        seen = Observation()
+        size = F.when(F.col("source_row_id").isNotNull(), F.size("chunks")).otherwise(0)
+        plan = self._kept(slim(source).observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("chunks"), F.count_if(F.col("source_row_id").isNull()).alias("bad")), "plan")
+        sums = seen.get
         chunks = mapped(plan)
         store = self.store.read(partition={"model_version": spec.model_version})
-        contents = chunks.select("content_hash").distinct()
-        novel = self._kept(novel_content(contents, store, spec), "novel")
-        n_distinct, n_novel = contents.count(), novel.count()
+        known = store.filter(F.col("config_id") == spec.config_id).select(F.col("content_hash").alias("__known")).distinct()
+        contents = chunks.select("content_hash").distinct().join(known, F.col("content_hash") == F.col("__known"), "left")
+        found = Observation()
+        contents = self._kept(contents.select("content_hash", F.col("__known").isNull().alias("novel")).observe(found, F.count(F.lit(1)).alias("all"), F.count_if("novel").alias("novel")), "contents")
+        n_distinct, n_novel = found.get["all"], found.get["novel"]
+        novel = contents.filter("novel").select("content_hash")
         good, kept_plan, n_held = chunks, plan, 0
         if n_novel:  # texts are read again for novel content alone, and never written but with their vectors
             texts = distinct_content(exploded(source).join(novel, "content_hash", "left_semi"))
-            files = self.store.stage(store_rows(embedder_for(self.embedders, spec).embed(texts), spec))
-            made = self.store.read_files(files)
-            seen = made.agg(F.count("*").alias("n"), F.min("embedding_dim").alias("least"), F.max("embedding_dim").alias("most")).first()
-            if seen["least"] != seen["most"]:
-                raise ValueError(f"vectors of different widths: {seen['least']} to {seen['most']}")
+            made = Observation()
+            files = self.store.stage(store_rows(embedder_for(self.embedders, spec).embed(texts), spec).observe(made, F.min("embedding_dim").alias("least"), F.max("embedding_dim").alias("most")))
+            if made.get["least"] != made.get["most"]:
+                raise ValueError(f"vectors of different widths: {made.get['least']} to {made.get['most']}")
             if files:
                 self.store.commit(APPEND, files)
-            if seen["n"] < n_novel:
-                lost = novel.join(made, "content_hash", "left_anti")
+            if sum(f.rows for f in files) < n_novel:
+                lost = novel.join(self.store.read_files(files), "content_hash", "left_anti")
                 held = self._kept(chunks.join(lost, "content_hash", "left_semi").select("source_row_id").distinct(), "held")
                 n_held = held.count()
                 good, kept_plan = chunks.join(held, "source_row_id", "left_anti"), plan.join(held, "source_row_id", "left_anti")
         gone = superseding(kept_plan, live_ordinals(self.history(spec), kept_plan))
         n_gone = self._append(map_rows(good, spec, False).union(map_rows(gone, spec, True)), {"batch-key": batch_key} if batch_key else {})
-        sums = plan.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("source_row_id").isNotNull(), F.size("chunks"))), F.lit(0)).alias("chunks"), F.count_if(F.col("source_row_id").isNull()).alias("bad")).first()
         return Counters(sums["rows"], sums["chunks"], n_distinct, sums["chunks"] - n_novel, n_novel, sums["bad"] + n_held, n_gone)
 
     def embedded(self, spec: Spec) -> DataFrame:
@@ -187,9 +192,11 @@ class Deriver:
         return self._append(map_rows(tombstones(rows, live_ordinals(self.history(spec), rows)), spec, True), {})
 
     def _append(self, entries: DataFrame, summary: dict[str, str]) -> int:
-        """Commit entries, and say how many are tombstones; a bad one fails the write before the commit."""
+        """Commit entries, and say how many are tombstones (observed: tasks run again after a loss may count twice); a bad
+        one fails the write before the commit."""
         refuse = F.raise_error(F.lit("a content map entry without content, table, row or configuration")).cast("boolean")
-        files = self.map.stage(entries.filter(F.when(is_invalid(), refuse).otherwise(True)))
+        seen = Observation()
+        files = self.map.stage(entries.filter(F.when(is_invalid(), refuse).otherwise(True)).observe(seen, F.count_if("deleted").alias("n")))
         if summary or files:
             self.map.commit(APPEND, files, summary=summary)
-        return self.map.read_files(files).filter("deleted").count()
+        return seen.get["n"]
