@@ -63,9 +63,8 @@ def test_format_guard_and_evolution(spark, catalog, table):
     table.evolve_spec([])
     table.append(rows(spark, ("b", "y", 2)))
     assert content(catalog.table("db.t")) == [("a", 1), ("b", 2)] and [f.spec_id for f in table.live_files()] == [0, 1]
-    text = table.store.read("_log/table.json").replace('"format-version": 3', '"format-version": 2')
-    table.store.delete("_log/table.json")
-    table.store.create("_log/table.json", text)
+    text = table.store.read("_log/table.000001.json").replace('"format-version": 3', '"format-version": 2')
+    assert table.store.create("_log/table.000002.json", text)
     with pytest.raises(FormatMismatch):
         catalog.table("db.t")
 

@@ -104,12 +104,15 @@ def distinct_content(spark, sf_dir):
 
 
 @query(f"""select (select count(*) from documents) as n_rows, count(*) as chunks, count(distinct sha256(text)) as inference_calls, (count(*) - count(distinct sha256(text))) as cache_hits,
-  round(1 - count(distinct sha256(text)) / count(*), 6) as inference_avoided, 0 as failed from ({_CHUNKS})""")
+  round(1 - count(distinct sha256(text)) / count(*), 6) as inference_avoided from ({_CHUNKS})""")
 def dedup_savings(spark, sf_dir):
-    """The counters of a derivation into an empty store."""
-    engine = _engine(spark, sf_dir)
-    got = engine.deriver.derive(_stamped(read(spark, sf_dir, "documents").select("doc_id", "text")), CHUNKED)
-    return spark.createDataFrame([(got.rows, got.chunks, got.inference_calls, got.cache_hits, round(got.inference_avoided, 6), got.failed)], "n_rows long, chunks long, inference_calls long, cache_hits long, inference_avoided double, failed long")
+    """What a derivation into an empty store would embed, from hashes alone."""
+    docs = read(spark, sf_dir, "documents")
+    each = derive.mapped(derive.slim(planned(_stamped(docs), CHUNKED)))
+    # sums by content first: no task sees all chunks
+    sums = each.groupBy("content_hash").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count("*").alias("inference_calls"))
+    rows = docs.agg(F.count("*").alias("n_rows"))
+    return rows.crossJoin(sums).select("n_rows", "chunks", "inference_calls", (F.col("chunks") - F.col("inference_calls")).alias("cache_hits"), F.round(1 - F.try_divide("inference_calls", "chunks"), 6).alias("inference_avoided"))  # one row each
 
 
 _EARLY = "doc_id % 3 = 0"
@@ -118,7 +121,7 @@ _EARLY = "doc_id % 3 = 0"
 @query(f"select distinct sha256(text) as content_hash from documents n where not ({_EARLY}) and text is not null and not exists (select 1 from documents o where o.{_EARLY} and o.text = n.text)")
 def novel_content(spark, sf_dir):
     """Contents of later rows that the store does not have from earlier ones."""
-    store = _stored(spark, sf_dir, derive.distinct_content(_chunked(spark, sf_dir, SPEC, _EARLY)), SPEC)
+    store = _chunked(spark, sf_dir, SPEC, _EARLY).select("content_hash", F.lit(SPEC.model_version).alias("model_version"), F.lit(SPEC.config_id).alias("config_id"))
     return derive.novel_content(derive.distinct_content(_chunked(spark, sf_dir, SPEC, f"not ({_EARLY})")).select("content_hash"), store, SPEC)
 
 
@@ -251,7 +254,7 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select d.doc_id, sha256(d.text) as content_hash, len(e.embedding)::int as embedding_dim, round(list_sum(list_transform(e.embedding::double[], lambda x: x)), 4) as total, {_VECTOR_ID.format(config=SPEC.config_id)} as vector_id
   from documents d join embeddings e on e.vec_id = {_SLOT.format(t='d.text')}""")
-def projection_join(spark, sf_dir):
+def projection_rows(spark, sf_dir):
     """Rows of a serving table: live entries of version 7 with their vectors."""
     chunks = exploded(planned(_stamped(read(spark, sf_dir, "documents"), 7), SPEC))
     live = cm.live_entries(map_rows(chunks, SPEC, False))
@@ -316,8 +319,18 @@ def centroid_assign(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", nearest_centroid(F.col("embedding"), _centroids(spark, sf_dir)).alias("cluster_id"))
 
 
+_indexes: dict[tuple[str, str], ClusterIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> ClusterIndex:
-    """An index of all vectors by the given centroids, laid out in partitions."""
+    """An index of all vectors by the given centroids, laid out in partitions; built once in an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = _built(spark, sf_dir)
+    return _indexes[key]
+
+
+def _built(spark: SparkSession, sf_dir: str) -> ClusterIndex:
     index = _engine(spark, sf_dir).index
     vectors = read(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 19, "0").alias("content_hash"), F.size("embedding").alias("embedding_dim"), "embedding", F.lit(None).cast("string").alias("text"))
     index.install(SPEC, vectors, _centroids(spark, sf_dir))
