@@ -23,7 +23,7 @@ from vecloom.sources.catalog import Catalog
 from vecloom.sources.schemas import CENTROIDS, CLUSTERED, COVERAGE, LAYOUT
 from vecloom.sources.shared import shared_dir
 
-MAX_ROUNDS, GROWTH, MAX_CLUSTERS = 25, 0.25, 4096
+MAX_ROUNDS, GROWTH, MAX_CLUSTERS, FEW_BYTES = 25, 0.25, 4096, 8 << 20
 FRESH, BEHIND, UNKNOWN = "FRESH", "BEHIND", "UNKNOWN"
 
 
@@ -35,8 +35,8 @@ def fit(vectors: DataFrame, clusters: int, rounds: int = MAX_ROUNDS) -> tuple[np
     """Centroids of vectors (content_hash, embedding) and the rounds it took.
 
     Starts from every n/k-th vector in order of hash. A round assigns by cosine (the lowest id wins ties) and sums unit
-    vectors by cluster in double, within each task first; only k centroids ever reach the driver. An empty cluster c takes
-    the c-th vector in order of hash. Stops when no assignment moves.
+    vectors by cluster in double, within each task first; only k sums ever reach the driver (or the tasks' own, where all
+    of them take FEW_BYTES at most). An empty cluster c takes the c-th vector in order of hash. Stops when no assignment moves.
     """
     unit = vectors.select("content_hash", unit_or_null(F.col("embedding")).alias("u")).filter("u is not null")
     spark = vectors.sparkSession
@@ -51,13 +51,14 @@ def fit(vectors: DataFrame, clusters: int, rounds: int = MAX_ROUNDS) -> tuple[np
     seeds = _at_ranks(unit, [i * n // k for i in range(k)], n)
     centroids = np.array(seeds, np.float64)
     mark = None
+    few = unit.rdd.getNumPartitions() * centroids.nbytes <= FEW_BYTES
     for done in range(rounds):
-        sums = _round(unit, centroids).collect()  # at most k rows
-        now = tuple(sorted((r["c"], r["n"], r["mark"]) for r in sums))
+        sums = _round(unit, centroids, few)  # at most k of them
+        now = tuple(sorted((c, n, m) for c, (n, m, _) in sums.items()))
         if now == mark:
             return centroids, done
         mark = now
-        by = {r["c"]: np.array(r["s"]) for r in sums}
+        by = {c: s for c, (_, _, s) in sums.items()}
         empty = [c for c in range(k) if c not in by or not np.linalg.norm(by[c]) > 0]
         again = dict(zip(empty, _at_ranks(unit, empty, n), strict=True)) if empty else {}
         for c in range(k):
@@ -82,8 +83,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _round(unit: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """c, n, mark, s: the size, a checksum of members, and the vector sum of each cluster; summed by task first."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> dict[int, list]:
+    """[n, mark, s] by cluster over rows (c, n, mark, s)."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for c, n, mark, x in zip(batch.column("c").to_pylist(), batch.column("n").to_pylist(), batch.column("mark").to_pylist(), batch.column("s"), strict=True):
+            x = x.values.to_numpy()
+            if c in held:
+                held[c][0] += n
+                held[c][1] += mark
+                held[c][2] += x
+            else:
+                held[c] = [n, mark, x.copy()]
+    return held
+
+
+def _round(unit: DataFrame, centroids: np.ndarray, few: bool) -> dict[int, list]:
+    """By cluster, its size, a checksum of its members, and its vector sum; summed by task first."""
     model = unit.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CLUSTERS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,22 +116,14 @@ def _round(unit: DataFrame, centroids: np.ndarray) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(mark[own]), pa.array(list(s[own]), pa.list_(pa.float64()))], ["c", "n", "mark", "s"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for c, n, mark, x in zip(batch.column("c").to_pylist(), batch.column("n").to_pylist(), batch.column("mark").to_pylist(), batch.column("s"), strict=True):
-                x = x.values.to_numpy()
-                if c in held:
-                    held[c][0] += n
-                    held[c][1] += mark
-                    held[c][2] += x
-                else:
-                    held[c] = [n, mark, x.copy()]
+        held = _summed(batches)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1] for h in held.values()], pa.int64()), pa.array([h[2] for h in held.values()], pa.list_(pa.float64()))], ["c", "n", "mark", "s"])
 
     schema = "c int, n long, mark long, s array<double>"
     parts = unit.select("u", F.pmod(F.xxhash64("content_hash"), F.lit(1 << 40)).alias("mark")).mapInArrow(run, schema)
     # a row of whole vectors for each task and cluster; sums of a cluster end in one task
-    return parts.repartition("c").mapInArrow(add, schema)
+    sums = parts if few else parts.repartition("c").mapInArrow(add, schema)
+    return _summed(sums.toArrow().to_batches())
 
 
 def _at_ranks(unit: DataFrame, ranks: Sequence[int], n: int) -> list[list[float]]:
