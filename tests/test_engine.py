@@ -145,6 +145,19 @@ def test_texts_are_shuffled_once_from_source_to_serving_table(engine, spark, mon
     assert published(engine) == sorted((i, f"n {t}") for i, _, t in texts)
 
 
+def test_an_index_that_is_current_moves_no_texts(engine, spark):
+    import base64
+    import os
+
+    texts = [(f"r{i}", "n", base64.b64encode(os.urandom(15_000)).decode()) for i in range(100)]
+    put(engine, *texts)
+    engine.run_one(engine.control.admit(SPEC).id)
+    assert engine.index.build(SPEC, 2).action == "refitted"
+    before = shuffled(spark)
+    assert engine.index.build(SPEC).action == "reused"
+    assert shuffled(spark) - before < 0.2 * sum(len(t) for *_, t in texts)
+
+
 def test_a_refused_build_writes_nothing(engine, spark):
     put(engine, *items(0, 4, 2))
     engine.run_one(engine.control.admit(SPEC).id)

@@ -22,6 +22,7 @@ from vecloom.plans.spec import Spec
 from vecloom.sources.catalog import Catalog
 from vecloom.sources.schemas import CENTROIDS, CLUSTERED, COVERAGE, LAYOUT
 from vecloom.sources.shared import shared_dir
+from vecloom.sources.versioned import CODEC
 
 MAX_ROUNDS, GROWTH, MAX_CLUSTERS, FEW_BYTES = 25, 0.25, 4096, 8 << 20
 FRESH, BEHIND, UNKNOWN = "FRESH", "BEHIND", "UNKNOWN"
@@ -190,16 +191,21 @@ class ClusterIndex:
     def _scope(self, spec: Spec) -> dict[str, object]:
         return {"source_table": spec.source_table, "model_version": spec.model_version, "config_id": spec.config_id}
 
-    def canonical(self, spec: Spec) -> DataFrame:
-        """One row for each live content of the source that has a vector."""
+    def canonical(self, spec: Spec, columns: Sequence[str] = ("embedding_dim", "embedding", "text")) -> DataFrame:
+        """One row for each live content of the source that has a vector, with the columns named."""
+        return self._canonical(*self._pinned(spec), spec, columns)
+
+    def _pinned(self, spec: Spec) -> tuple[DataFrame, DataFrame]:
+        """The scope's content map and vectors, as of now."""
         history = self.catalog.table("content_map").read(partition={"source_table": spec.source_table, "config_id": spec.config_id})
-        live = live_entries(history).select("content_hash").distinct()
-        store = self.catalog.table("embedding_store").read(partition={"model_version": spec.model_version})
-        return distinct_vectors(store, spec).join(live, "content_hash", "left_semi")
+        return history, self.catalog.table("embedding_store").read(partition={"model_version": spec.model_version})
+
+    def _canonical(self, history: DataFrame, store: DataFrame, spec: Spec, columns: Sequence[str]) -> DataFrame:
+        return distinct_vectors(store, spec, columns).join(live_entries(history).select("content_hash").distinct(), "content_hash", "left_semi")
 
     def canonical_count(self, spec: Spec, limit: int = 2_000_000) -> tuple[int, bool]:
         """The number of canonical contents, and whether it is exact (counting stops past the limit)."""
-        n = self.canonical(spec).limit(limit + 1).count()
+        n = self.canonical(spec, ["embedding_dim"]).limit(limit + 1).count()
         return min(n, limit), n <= limit
 
     def _rows(self, name: str, schema, spec: Spec, scope: dict[str, object] | None = None) -> DataFrame:
@@ -223,10 +229,15 @@ class ClusterIndex:
         return np.array([r["centroid"] for r in rows], np.float64)
 
     def build(self, spec: Spec, clusters: int | None = None, force: bool = False) -> Built:
-        """Reuse, extend or refit the index, whichever the change of contents asks for."""
+        """Reuse, extend or refit the index, whichever the change of contents asks for.
+
+        That is told by hashes alone; vectors and texts are read where they are indexed, from the same versions.
+        """
+        pinned = self._pinned(spec)
         path = f"{shared_dir(self.spark)}/index/{uuid.uuid4().hex}"
-        self.canonical(spec).write.parquet(path)
-        now = self.spark.read.parquet(path)
+        self._canonical(*pinned, spec, ["embedding_dim"]).write.option("compression", CODEC).parquet(path)
+        now = self.spark.read.schema("content_hash string, embedding_dim int").parquet(path)
+        rows = self._canonical(*pinned, spec, ["embedding_dim", "embedding", "text"])
         n = now.count()
         if not n:
             raise ValueError("there are no canonical vectors to index")
@@ -241,11 +252,11 @@ class ClusterIndex:
             added = now.join(indexed.select("content_hash"), "content_hash", "left_anti")
             base = had["refit_content_count"] or had["content_count"]
             if removed.isEmpty() and n > had["content_count"] and n <= base + max(1, int(base * GROWTH)):
-                self._table(spec).append(self._clustered_rows(added, known, spec))
+                self._table(spec).append(self._clustered_rows(rows.join(added.select("content_hash"), "content_hash", "left_semi"), known, spec))
                 self._cover(spec, digest, n, base)
                 return Built("extended", "additions within the growth that the centroids bear", n, len(known))
-        centroids, rounds = fit(now, clusters or suggested_clusters(n))
-        self.install(spec, now, centroids, digest, n)
+        centroids, rounds = fit(self._canonical(*pinned, spec, ["embedding"]), clusters or suggested_clusters(n))
+        self.install(spec, rows, centroids, digest, n)
         return Built("refitted", "contents were removed, outgrew the centroids, or had no index", n, len(centroids), rounds)
 
     def install(self, spec: Spec, vectors: DataFrame, centroids: np.ndarray, digest: str | None = None, n: int | None = None) -> None:
@@ -275,7 +286,7 @@ class ClusterIndex:
         had = self.coverage(spec)
         if had is None:
             return UNKNOWN
-        now = covered(self.canonical(spec))
+        now = covered(self.canonical(spec, ["embedding_dim"]))
         return FRESH if now == had["coverage_digest"] and now != EMPTY_COVERAGE else BEHIND
 
     def status(self) -> DataFrame:
