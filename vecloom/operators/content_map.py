@@ -20,12 +20,17 @@ def newest(history: DataFrame, key: list[str] | None = None) -> DataFrame:
 
     A maximum over one struct, not a window: it is combined before the shuffle and keeps no chunk's history in memory.
     """
-    key = key or CHUNK
+    best = _newest_packed(history.withColumn("content_hash", packed(F.col("content_hash"))), key or CHUNK)
+    return best.withColumn("content_hash", unpacked(F.col("content_hash"))).select(*history.columns)
+
+
+def _newest_packed(history: DataFrame, key: list[str]) -> DataFrame:
+    """`newest` where content hashes are packed, and stay so."""
     order = ["source_sequence_number", "source_committed_at", "created_at", "content_hash"]
     # structs compare field by field with nulls first, which is last among the newest; `live` puts live rows over tombstones
     rank = F.struct(*order, (~F.col("deleted")).alias("live"), *[c for c in history.columns if c not in (*key, *order, "deleted")])
-    best = history.withColumn("content_hash", packed(F.col("content_hash"))).groupBy(*key).agg(F.max(rank).alias("__best"))
-    return best.select(*(F.col(c) if c in key else (~F.col("__best.live")).alias(c) if c == "deleted" else unpacked(F.col("__best.content_hash")).alias(c) if c == "content_hash" else F.col(f"__best.{c}").alias(c) for c in history.columns))
+    best = history.groupBy(*key).agg(F.max(rank).alias("__best"))
+    return best.select(*(F.col(c) if c in key else (~F.col("__best.live")).alias(c) if c == "deleted" else F.col(f"__best.{c}").alias(c) for c in history.columns))
 
 
 def live_entries(history: DataFrame, as_of: int | None = None) -> DataFrame:
@@ -36,9 +41,9 @@ def live_entries(history: DataFrame, as_of: int | None = None) -> DataFrame:
 
 def live_ordinals(history: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """source_row_id, chunk_ordinal of live chunks, of the given rows only if any are named."""
-    part = history if rows is None else history.join(rows.select("source_row_id").distinct(), "source_row_id", "left_semi")
-    slim = part.select(*CHUNK, "source_sequence_number", "source_committed_at", "created_at", "content_hash", "deleted")
-    return newest(slim).filter(~F.col("deleted")).select("source_row_id", "chunk_ordinal")
+    slim = history.select(*CHUNK, "source_sequence_number", "source_committed_at", "created_at", packed(F.col("content_hash")).alias("content_hash"), "deleted")
+    part = slim if rows is None else slim.join(rows.select("source_row_id").distinct(), "source_row_id", "left_semi")
+    return _newest_packed(part, CHUNK).filter(~F.col("deleted")).select("source_row_id", "chunk_ordinal")
 
 
 def chunk_history(history: DataFrame, table: str, row: str, ordinal: int, config_id: str) -> DataFrame:

@@ -21,6 +21,8 @@ from vecloom.sources.versioned import APPEND, CODEC
 
 #: Contents whose vectors are packed into few files before they are written; more are written where they are made.
 FEW = 10_000
+#: Copies of a content that may pass through one task of an embedder that drops them (sorted, none is held); contents with more are looked up by place.
+COPIES = 20_000
 PLACE = ["source_row_id", "chunk_ordinal"]
 REFUSED = ("array", "map", "struct", "binary", "void", "variant")
 
@@ -169,14 +171,16 @@ class Deriver:
         known = store.filter(F.col("config_id") == spec.config_id).select(packed(F.col("content_hash")).alias("__known")).distinct()
         contents = chunks.groupBy(packed(F.col("content_hash")).alias("__h")).agg(F.min(F.struct(*PLACE)).alias("at"), F.count("*").alias("n")).join(known, F.col("__h") == F.col("__known"), "left")
         found = Observation()
-        contents = self._kept(contents.select(unpacked(F.col("__h")).alias("content_hash"), "at", "n", F.col("__known").isNull().alias("novel")).observe(found, F.count(F.lit(1)).alias("all"), F.count_if("novel").alias("novel")), "contents")
+        contents = self._kept(contents.select(unpacked(F.col("__h")).alias("content_hash"), "at", "n", F.col("__known").isNull().alias("novel")).observe(found, F.count(F.lit(1)).alias("all"), F.count_if("novel").alias("novel"), F.count_if(~F.col("novel") | (F.col("n") > COPIES)).alias("awkward")), "contents")
         n_distinct, n_novel = found.get["all"], found.get["novel"]
+        embedder = embedder_for(self.embedders, spec)
+        copies = getattr(embedder, "drops_copies", False)
         novel = contents.filter("novel").select("content_hash")
         good, kept_plan, n_held = chunks, plan, 0
         if n_novel:  # texts are read again for novel content alone, and never written but with their vectors
-            texts = self._texts(rows, spec, plan, contents, n_novel, sums["chunks"])
+            texts = self._texts(rows, spec, plan, contents, n_novel, sums["chunks"], COPIES if copies else 1, copies and not found.get["awkward"])
             made = Observation()
-            files = self.store.stage(store_rows(embedder_for(self.embedders, spec).embed(texts), spec).observe(made, F.min("embedding_dim").alias("least"), F.max("embedding_dim").alias("most")), n_novel <= FEW)
+            files = self.store.stage(store_rows(embedder.embed(texts), spec).observe(made, F.min("embedding_dim").alias("least"), F.max("embedding_dim").alias("most")), n_novel <= FEW)
             if made.get["least"] != made.get["most"]:
                 raise ValueError(f"vectors of different widths: {made.get['least']} to {made.get['most']}")
             if files:
@@ -190,8 +194,8 @@ class Deriver:
         n_gone = self._append(map_rows(gone, spec, True), {"batch-key": batch_key} if batch_key else {}, map_rows(good, spec, False))
         return Counters(sums["rows"], sums["chunks"], n_distinct, sums["chunks"] - n_novel, n_novel, sums["bad"] + n_held, n_gone)
 
-    def _texts(self, rows: DataFrame, spec: Spec, plan: DataFrame, contents: DataFrame, n_novel: int, n_chunks: int) -> DataFrame:
-        """content_hash, text: one row for each novel content.
+    def _texts(self, rows: DataFrame, spec: Spec, plan: DataFrame, contents: DataFrame, n_novel: int, n_chunks: int, copies: int, whole: bool) -> DataFrame:
+        """content_hash, text: one row for each novel content; up to so many `copies`, if the embedder drops them. `whole`: no content is known or has more.
 
         By hashes alone each content has a chunk (`at`) that gives it its text. The chunks to leave out, or to take, are
         named by row and ordinal, whichever are fewer: while these are few, no text is shuffled; else rows are, each text
@@ -199,6 +203,8 @@ class Deriver:
         by content.
         """
         chunks = exploded(planned(rows, spec))
+        if whole and n_chunks - n_novel <= n_novel:
+            return chunks.select("content_hash", "text")
         if not plan.filter("source_row_id is not null").groupBy("source_row_id").count().filter("count > 1").isEmpty():
             return distinct_content(chunks.join(contents.filter("novel").select("content_hash"), "content_hash", "left_semi"))
         if n_chunks == n_novel:
@@ -206,7 +212,7 @@ class Deriver:
         if n_chunks - n_novel > n_novel:
             places, how, chosen = contents.filter("novel").select("at.*"), "inner", lambda c: F.array_contains("__ordinals", c["ordinal"])
         else:
-            shared = contents.filter("n > 1 or not novel").select(packed(F.col("content_hash")).alias("__h"), "at", "novel")
+            shared = contents.filter(f"n > {copies} or not novel").select(packed(F.col("content_hash")).alias("__h"), "at", "novel")
             each = mapped(plan).select(packed(F.col("content_hash")).alias("__h"), *PLACE)
             places = self._kept(each.join(shared, "__h").filter(~F.col("novel") | (F.struct(*PLACE) != F.col("at"))).select(*PLACE), "others")
             how, chosen = "left", lambda c: F.col("__ordinals").isNull() | ~F.array_contains("__ordinals", c["ordinal"])

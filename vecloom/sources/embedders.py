@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.functions.identity import packed, unpacked
 from vecloom.plans.spec import Spec
 
 
@@ -29,6 +30,8 @@ class StoredVectors:
     """Deterministic, and expressible in SQL: a text's hash picks one of the vectors of a table."""
 
     model: str | None = None
+    #: Texts are spread by slot on the way to their vectors, and copies of a content meet there: one comes back.
+    drops_copies = True
 
     def __init__(self, vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> None:
         self.vectors = vectors.select(F.col(key).alias("__id"), F.col(column).alias("__v"))
@@ -38,8 +41,9 @@ class StoredVectors:
         return F.conv(F.substring(content, 1, 7), 16, 10).cast("long") % self.n
 
     def embed(self, texts: DataFrame) -> DataFrame:
-        rows = texts.withColumn("__slot", self.slot(F.col("content_hash")))
-        return rows.join(self.vectors, F.col("__slot") == F.col("__id"), "left").select("content_hash", "text", F.col("__v").cast("array<double>").alias("embedding"), F.when(F.col("__v").isNull(), F.lit("no vector")).alias("error"))
+        rows = texts.select(self.slot(F.col("content_hash")).alias("__slot"), packed(F.col("content_hash")).alias("__h"), "text")
+        once = rows.repartition("__slot").dropDuplicates(["__slot", "__h"])  # spread by slot already, so texts are shuffled once
+        return once.join(self.vectors, F.col("__slot") == F.col("__id"), "left").select(unpacked(F.col("__h")).alias("content_hash"), "text", F.col("__v").cast("array<double>").alias("embedding"), F.when(F.col("__v").isNull(), F.lit("no vector")).alias("error"))
 
     def embed_query(self, text: str) -> list[float]:
         slot = int(hashlib.sha256(text.encode()).hexdigest()[:7], 16) % self.n
